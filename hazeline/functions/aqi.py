@@ -1,11 +1,15 @@
-"""US EPA Air Quality Index as column expressions."""
+"""US EPA Air Quality Index as column expressions.
+
+Arguments named ``value`` are column names or SQL expressions. The wide CASE
+expressions are given to Spark as SQL text, which it parses in one call.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hazeline.functions.common import greatest_present
+from hazeline.functions.common import double, greatest_of
 
 # US EPA breakpoints (concentration low, high, index low, high).
 # PM in ug/m3, ozone and CO in ppm, SO2 and NO2 in ppb; PM2.5 as of May 2024.
@@ -117,54 +121,77 @@ def subindex_name(pollutant: str) -> str:
     return f"aqi_{pollutant}"
 
 
-def epa_truncate(value: Column, decimals: int) -> Column:
+def truncate_sql(value: str, decimals: int) -> str:
+    factor = double(10**decimals)
+    return f"(floor(({value}) * {factor}) / {factor})"
+
+
+def epa_truncate(value: str, decimals: int) -> Column:
     """Cut a non-negative concentration to the decimals its table uses."""
-    factor = F.lit(float(10**decimals))
-    return F.floor(value * factor) / factor
+    return F.expr(truncate_sql(value, decimals))
 
 
-def to_epa_units(value: Column, pollutant: str) -> Column:
+def units_sql(value: str, pollutant: str) -> str:
     factor = UNIT_FACTORS.get(pollutant)
-    return value if factor is None else value * F.lit(factor)
+    return value if factor is None else f"(({value}) * {double(factor)})"
 
 
-def aqi_subindex(concentration: Column, table: str, on_negative: str = "error") -> Column:
-    """Sub-index of a concentration given in the units of ``table``.
+def to_epa_units(value: str, pollutant: str) -> Column:
+    """Mass concentration in the units of the pollutant's table."""
+    return F.expr(units_sql(value, pollutant))
 
-    Null stays null, values above the table score 500 and values below its first
-    row have no index. A negative value fails the job, or is null on request.
-    """
+
+def subindex_sql(value: str, table: str, on_negative: str = "error") -> str:
     if table not in BREAKPOINTS:
         raise KeyError(f"no AQI breakpoints for {table!r}")
     if on_negative not in ("error", "null"):
         raise ValueError("on_negative is 'error' or 'null'")
     rows = BREAKPOINTS[table]
-    value = epa_truncate(concentration, TRUNCATION_DECIMALS[table])
+    cut = truncate_sql(value, TRUNCATION_DECIMALS[table])
     negative = (
-        F.raise_error(F.concat(F.lit(f"negative {table} concentration: "), concentration.cast("string")))
+        f"raise_error(concat('negative {table} concentration: ', {value}))"
         if on_negative == "error"
-        else F.lit(None)
+        else "NULL"
     )
-    index = F.when(concentration < 0, negative.cast("double"))
-    index = index.when(value < F.lit(rows[0][0]), F.lit(None).cast("double"))
+    arms = [f"WHEN {value} < 0 THEN {negative}", f"WHEN {cut} < {double(rows[0][0])} THEN NULL"]
     for low, high, index_low, index_high in rows:
-        scaled = F.lit(float(index_low)) + F.lit(float(index_high - index_low)) * (
-            value - F.lit(low)
-        ) / F.lit(high - low)
-        index = index.when(value <= F.lit(high), F.floor(scaled + F.lit(0.5)).cast("double"))
-    return index.when(value.isNotNull(), F.lit(500.0))
+        rise, run = double(index_high - index_low), double(high - low)
+        index = f"{double(index_low)} + {rise} * ({cut} - {double(low)}) / {run}"
+        arms.append(f"WHEN {cut} <= {double(high)} THEN double(floor({index} + 0.5D))")
+    return f"CASE {' '.join(arms)} WHEN {cut} IS NOT NULL THEN 500D END"
 
 
-def aqi_category(aqi: Column) -> Column:
+def aqi_subindex(value: str, table: str, on_negative: str = "error") -> Column:
+    """Sub-index of a concentration given in the units of ``table``.
+
+    Null stays null, values above the table score 500 and values below its first
+    row have no index. A negative value fails the job, or is null on request.
+    """
+    return F.expr(subindex_sql(value, table, on_negative))
+
+
+def category_sql(value: str) -> str:
+    rounded = f"bround({value}, 0)"
+    arms = [f"WHEN {rounded} < 0 THEN NULL"]
+    arms += [f"WHEN {rounded} <= {double(high)} THEN '{name}'" for high, name in CATEGORIES[:-1]]
+    return f"CASE {' '.join(arms)} WHEN {value} IS NOT NULL THEN '{CATEGORIES[-1][1]}' END"
+
+
+def aqi_category(value: str) -> Column:
     """Category of an index rounded half to even; null below zero."""
-    value = F.bround(aqi, 0)
-    name = F.when(value < 0, F.lit(None).cast("string"))
-    for high, label in CATEGORIES[:-1]:
-        name = name.when(value <= F.lit(float(high)), F.lit(label))
-    return name.when(value.isNotNull(), F.lit(CATEGORIES[-1][1]))
+    return F.expr(category_sql(value))
+
+
+def band_sql(value: str) -> str:
+    """Number of the category, for counting."""
+    rounded = f"bround({value}, 0)"
+    arms = [f"WHEN {rounded} < 0 THEN NULL"]
+    arms += [f"WHEN {rounded} <= {double(high)} THEN {i}" for i, (high, _) in enumerate(CATEGORIES[:-1])]
+    return f"CASE {' '.join(arms)} WHEN {value} IS NOT NULL THEN {len(CATEGORIES) - 1} END"
 
 
 def dominant_pollutant(columns: list[str]) -> Column:
     """Pollutant with the largest sub-index; ties go to the first column."""
-    top = greatest_present([F.col(c) for c in columns])
-    return F.coalesce(*[F.when(F.col(c) == top, F.lit(c.removeprefix("aqi_"))) for c in columns])
+    top = greatest_of(columns)
+    arms = [f"WHEN {c} = {top} THEN '{c.removeprefix('aqi_')}'" for c in columns]
+    return F.expr(f"CASE {' '.join(arms)} END")

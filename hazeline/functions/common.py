@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def double(value: float) -> str:
+    """A number as a DOUBLE literal of SQL."""
+    return f"{float(value)!r}D"
+
+
 def fail_when(condition: Column, message: str, value: Column) -> Column:
     """``value``, but the job fails with ``message`` on a row where ``condition`` holds."""
     return F.when(condition, F.raise_error(F.lit(message))).otherwise(value)
 
 
-def snap(value: Column) -> Column:
+def snap_sql(value: str) -> str:
     """Drop the float noise of a mean, which would otherwise be truncated a step too low."""
-    return F.rint(value * F.lit(1e9)) / F.lit(1e9)
+    return f"(rint(({value}) * 1e9D) / 1e9D)"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -43,9 +48,13 @@ def cyclic(value: Column, period: float) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def greatest_present(columns: list[Column]) -> Column:
+def greatest_of(columns: list[str]) -> str:
     """Largest non-null value; one column passes through."""
-    return columns[0] if len(columns) == 1 else F.greatest(*columns)
+    return columns[0] if len(columns) == 1 else f"greatest({', '.join(columns)})"
+
+
+def any_null(columns) -> Column:
+    return F.expr(" OR ".join(f"`{c}` IS NULL" for c in columns) or "false")
 
 
 def present(df: DataFrame, columns) -> list[str]:

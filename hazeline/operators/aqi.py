@@ -11,9 +11,10 @@ from hazeline.functions.aqi import (
     aqi_subindex,
     dominant_pollutant,
     subindex_name,
+    subindex_sql,
     to_epa_units,
 )
-from hazeline.functions.common import greatest_present, present, snap
+from hazeline.functions.common import greatest_of, present, snap_sql
 from hazeline.operators.chunks import CHUNK, HOURLY_GRID, Chunked, Grid, cut
 from hazeline.schema import DAILY_AQI, DATE, HOURLY_AQI, KEYS, TIME
 
@@ -39,26 +40,37 @@ def add_subindices(chunked: Chunked) -> DataFrame:
         for p in pollutants
         if p in AVERAGING_HOURS
     }
+    # The concentrations in table units, then the indices: each step is a plain column
+    # of the one before, so no expression repeats another.
+    units = {
+        f"_value_{p}": to_epa_units(f"_mean_{p}" if p in AVERAGING_HOURS else p, p)
+        for p in pollutants
+    }
+    if "ozone" in pollutants:
+        units["_value_ozone_1h"] = to_epa_units("ozone", "ozone")
     indices = {}
     for p in pollutants:
-        value = to_epa_units(F.col(f"_mean_{p}" if p in AVERAGING_HOURS else p), p)
         if p == "ozone":
-            hourly = aqi_subindex(to_epa_units(F.col(p), p), "ozone_1h")
-            indices[subindex_name(p)] = F.greatest(aqi_subindex(value, "ozone_8h"), hourly)
+            both = [subindex_sql("_value_ozone", "ozone_8h"), subindex_sql("_value_ozone_1h", "ozone_1h")]
+            indices[subindex_name(p)] = F.expr(greatest_of(both))
         else:
-            indices[subindex_name(p)] = aqi_subindex(value, p)
+            indices[subindex_name(p)] = aqi_subindex(f"_value_{p}", p)
     # The cadence guard rides on the first index, inside the same window.
     ok = "_cadence_ok"
-    df = df.withColumns({**means, ok: chunked.checked(F.lit(True))})
     first = subindex_name(pollutants[0])
     indices[first] = F.when(F.col(ok), indices[first])
-    return df.withColumns(indices).drop(*means, ok)
+    return (
+        df.withColumns({**means, ok: chunked.checked("true")})
+        .withColumns(units)
+        .withColumns(indices)
+        .drop(*means, *units, ok)
+    )
 
 
 def add_hourly_aqi(chunked: Chunked) -> DataFrame:
     df = add_subindices(chunked)
     return df.withColumn(
-        HOURLY_AQI, greatest_present([F.col(c) for c in subindex_columns(chunked.df)])
+        HOURLY_AQI, F.expr(greatest_of(subindex_columns(chunked.df)))
     )
 
 
@@ -82,9 +94,9 @@ def describe_hourly_aqi(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> D
     return indices.select(
         *keys,
         grid.column,
-        greatest_present([F.col(c) for c in columns]).alias(HOURLY_AQI),
+        F.expr(greatest_of(columns)).alias(HOURLY_AQI),
         dominant_pollutant(columns).alias("dominant_pollutant"),
-    ).withColumn("aqi_category", aqi_category(F.col(HOURLY_AQI)))
+    ).withColumn("aqi_category", aqi_category(HOURLY_AQI))
 
 
 def daily_aggregates(pollutants: list[str]) -> list:
@@ -93,7 +105,7 @@ def daily_aggregates(pollutants: list[str]) -> list:
         F.max(subindex_name(p)).alias(subindex_name(p)) for p in pollutants if p not in PARTICLES
     ]
     means = [
-        F.when(F.count(p) == 24, snap(F.avg(p))).alias(f"_day_{p}")
+        F.expr(f"CASE WHEN count({p}) = 24 THEN {snap_sql(f'avg({p})')} END AS _day_{p}")
         for p in pollutants
         if p in PARTICLES
     ]
@@ -105,12 +117,12 @@ def finish_daily(daily: DataFrame, pollutants: list[str]) -> DataFrame:
     particles = [p for p in pollutants if p in PARTICLES]
     columns = [subindex_name(p) for p in pollutants]
     daily = daily.withColumns(
-        {subindex_name(p): aqi_subindex(F.col(f"_day_{p}"), p) for p in particles}
+        {subindex_name(p): aqi_subindex(f"_day_{p}", p) for p in particles}
     ).drop(*[f"_day_{p}" for p in particles])
-    daily = daily.withColumn(DAILY_AQI, greatest_present([F.col(c) for c in columns]))
+    daily = daily.withColumn(DAILY_AQI, F.expr(greatest_of(columns)))
     return daily.withColumns(
         {
-            "aqi_category": aqi_category(F.col(DAILY_AQI)),
+            "aqi_category": aqi_category(DAILY_AQI),
             "dominant_pollutant": dominant_pollutant(columns),
         }
     )
@@ -155,7 +167,7 @@ def _concentration(pollutants: list[str]):
     value = F.coalesce(
         *[F.when(F.col("main_pollutant") == p, F.col(p)) for p in pollutants]
     )
-    return F.round(value, 1)
+    return F.bround(value, 1)
 
 
 def current_aqi(df: DataFrame, keys=KEYS) -> DataFrame:
@@ -163,12 +175,12 @@ def current_aqi(df: DataFrame, keys=KEYS) -> DataFrame:
     pollutants = present(df, SUBINDEX_ORDER)
     columns = [subindex_name(p) for p in pollutants]
     latest = _latest_with_indices(df, keys, [])
-    aqi = greatest_present([F.col(c) for c in columns])
+    aqi = greatest_of(columns)
     return latest.withColumn(
         "main_pollutant", F.coalesce(dominant_pollutant(columns), F.lit("pm2_5"))
     ).select(
         *keys,
-        F.round(aqi, 1).alias("aqi"),
+        F.expr(f"bround({aqi}, 1)").alias("aqi"),
         aqi_category(aqi).alias("category"),
         "main_pollutant",
         _concentration(pollutants).alias("concentration"),
@@ -191,7 +203,7 @@ def current_conditions(df: DataFrame, keys=KEYS) -> DataFrame:
         *keys,
         TIME,
         *[
-            (F.round(c, 1) if c in readings else F.lit(None).cast("double")).alias(c)
+            (F.bround(c, 1) if c in readings else F.lit(None).cast("double")).alias(c)
             for c in CONDITION_COLUMNS
         ],
         "main_pollutant",

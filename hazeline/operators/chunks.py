@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.functions.common import fail_when, snap
+from hazeline.functions.common import snap_sql
 from hazeline.schema import DATE, KEYS, TIME
 
 CHUNK = "_chunk"
@@ -41,62 +41,74 @@ class Grid:
     def chunk(self, shift: int = 0) -> Column:
         return F.floor((self.steps() + F.lit(shift)) / F.lit(self.chunk_steps)).cast("bigint")
 
-    def next_time(self, time: Column) -> Column:
-        if self.step == "day":
-            return F.date_add(time, 1)
-        return time + F.make_dt_interval(F.lit(0), F.lit(1))
-
 
 # Whole days per hourly chunk, so that a calendar day never spans two chunks.
 HOURLY_GRID = Grid(TIME, "hour", 180 * 24)
 DAILY_GRID = Grid(DATE, "day", 2048)
 
 
+def _edge(rows: int) -> str:
+    if rows == 0:
+        return "CURRENT ROW"
+    return f"{abs(rows)} {'PRECEDING' if rows < 0 else 'FOLLOWING'}"
+
+
 @dataclass(frozen=True)
 class Chunked:
-    """A DataFrame cut into chunks; ``frame`` helpers give columns over its rows in time order."""
+    """A DataFrame cut into chunks, with columns over its rows in time order."""
 
     df: DataFrame
     grid: Grid
     keys: tuple[str, ...]
 
-    @property
-    def window(self):
-        return Window.partitionBy(*self.keys, CHUNK).orderBy(self.grid.column)
+    def over(self, start: int | None = None, end: int | None = None) -> str:
+        """OVER clause of the chunk's rows in time order, with a row frame if given."""
+        rows = ""
+        if start is not None:
+            rows = f" ROWS BETWEEN {_edge(start)} AND {_edge(end)}"
+        series = ", ".join([*self.keys, CHUNK])
+        return f"OVER (PARTITION BY {series} ORDER BY {self.grid.column}{rows})"
 
     def then(self, step: Callable[[Chunked], DataFrame]) -> Chunked:
         return replace(self, df=step(self))
 
     def lag(self, column: str, rows: int) -> Column:
-        return F.lag(column, rows).over(self.window)
+        return F.expr(f"lag({column}, {rows}) {self.over()}")
 
     def lead(self, column: str, rows: int) -> Column:
-        return F.lead(column, rows).over(self.window)
+        return F.expr(f"lead({column}, {rows}) {self.over()}")
+
+    def full(self, function: str, column: str, start: int, end: int) -> str:
+        """An aggregate over rows ``start..end`` around the row; null unless all have a value."""
+        over = self.over(start, end)
+        return (
+            f"CASE WHEN count({column}) {over} = {end - start + 1} "
+            f"THEN {function}({column}) {over} END"
+        )
 
     def mean(self, column: str, start: int, end: int) -> Column:
-        """Mean over rows ``start..end`` around the row; null unless all are there."""
-        over = self.window.rowsBetween(start, end)
-        full = F.count(column).over(over) == F.lit(end - start + 1)
-        return F.when(full, F.avg(column).over(over))
+        return F.expr(self.full("avg", column, start, end))
 
     def trailing_mean(self, column: str, rows: int) -> Column:
         return self.mean(column, -(rows - 1), 0)
 
     def snapped_mean(self, column: str, rows: int) -> Column:
-        return snap(self.trailing_mean(column, rows))
+        return F.expr(snap_sql(self.full("avg", column, -(rows - 1), 0)))
 
     def trailing_std(self, column: str, rows: int) -> Column:
-        over = self.window.rowsBetween(-(rows - 1), 0)
-        full = F.count(column).over(over) == F.lit(rows)
-        return F.when(full, F.stddev_samp(column).over(over))
+        return F.expr(self.full("stddev_samp", column, -(rows - 1), 0))
 
-    def checked(self, value: Column) -> Column:
+    def checked(self, value: str) -> Column:
         """``value``, failing on a duplicate or a skipped step before the row."""
-        previous = self.lag(self.grid.column, 1)
-        now = F.col(self.grid.column)
-        value = fail_when(previous == now, f"duplicate {self.grid.column} in a series", value)
-        broken = previous.isNotNull() & (self.grid.next_time(previous) != now)
-        return fail_when(broken, f"series lacks a complete {self.grid.step} cadence", value)
+        now = self.grid.column
+        previous = f"lag({now}, 1) {self.over()}"
+        step = "1" if self.grid.step == "day" else "INTERVAL 1 HOUR"
+        return F.expr(
+            f"CASE WHEN {previous} = {now} THEN raise_error('duplicate {now} in a series') "
+            f"WHEN {previous} + {step} <> {now} "
+            f"THEN raise_error('series lacks a complete {self.grid.step} cadence') "
+            f"ELSE {value} END"
+        )
 
     def own_rows(self) -> DataFrame:
         return self.df.where(OWN).drop(OWN)

@@ -6,74 +6,54 @@ aggregation per (series, model, output) serves outputs and output groups.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.functions.aqi import CATEGORIES, HIGH_AQI
+from hazeline.functions.aqi import CATEGORIES, HIGH_AQI, band_sql
 from hazeline.operators.baselines import prediction
 from hazeline.schema import KEYS, OUTPUTS
 
 BANDS = range(len(CATEGORIES))
-REGRESSION = ("mse", "rmse", "mae", "r2")
-CATEGORY = ("category_accuracy", "category_macro_f1", "high_aqi_recall")
-METRICS = REGRESSION + CATEGORY
 
 
 def to_long(df: DataFrame, models, keep=KEYS) -> DataFrame:
     """One row per model and output with the observed ``y`` and the predicted ``yhat``."""
-    cells = [
-        F.struct(
-            F.lit(m).alias("model"),
-            F.lit(name).alias("output"),
-            F.lit(group).alias("group"),
-            F.col(name).alias("y"),
-            F.col(prediction(m, name)).alias("yhat"),
-        )
+    cells = ", ".join(
+        f"named_struct('model', '{m}', 'output', '{name}', 'group', '{group}', "
+        f"'y', {name}, 'yhat', {prediction(m, name)})"
         for m in models
         for name, group, *_ in OUTPUTS
-    ]
-    return df.select(*keep, F.inline(F.array(*cells)))
-
-
-def _band(value: Column) -> Column:
-    rounded = F.bround(value, 0)
-    band = F.when(rounded < 0, F.lit(None).cast("int"))
-    for i, (high, _) in enumerate(CATEGORIES[:-1]):
-        band = band.when(rounded <= F.lit(float(high)), F.lit(i))
-    return band.when(rounded.isNotNull(), F.lit(len(CATEGORIES) - 1))
+    )
+    return df.selectExpr(*keep, f"inline(array({cells}))")
 
 
 def _statistics() -> list[Column]:
-    error = F.col("yhat") - F.col("y")
-    true, guess = F.col("_true"), F.col("_guess")
-    high = F.col("y") >= HIGH_AQI
-    counts = [
-        F.count_if(true.eqNullSafe(guess)).alias("_same"),
-        F.count_if(high).alias("_high"),
-        F.count_if(high & (F.col("yhat") >= HIGH_AQI)).alias("_high_hit"),
-    ]
+    counts = {
+        "_same": "_true <=> _guess",
+        "_high": f"y >= {HIGH_AQI}",
+        "_high_hit": f"y >= {HIGH_AQI} AND yhat >= {HIGH_AQI}",
+    }
     for b in BANDS:
-        counts += [
-            F.count_if((true == b) & (guess == b)).alias(f"_hit{b}"),
-            F.count_if(true == b).alias(f"_true{b}"),
-            F.count_if(guess == b).alias(f"_guess{b}"),
-        ]
-    return [
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(error * error).alias("_se"),
-        F.sum(F.abs(error)).alias("_ae"),
-        F.avg("y").alias("_mean"),
-        (F.var_pop("y") * F.count("y")).alias("_dev"),
-        F.min("y").alias("_lo"),
-        F.max("y").alias("_hi"),
-        *counts,
-    ]
+        counts |= {
+            f"_hit{b}": f"_true = {b} AND _guess = {b}",
+            f"_true{b}": f"_true = {b}",
+            f"_guess{b}": f"_guess = {b}",
+        }
+    sums = {
+        "_n": "count(1)",
+        "_se": "sum((yhat - y) * (yhat - y))",
+        "_ae": "sum(abs(yhat - y))",
+        "_mean": "avg(y)",
+        "_dev": "var_pop(y) * count(y)",
+        "_lo": "min(y)",
+        "_hi": "max(y)",
+    }
+    sums |= {name: f"count_if({condition})" for name, condition in counts.items()}
+    return [F.expr(f"{sql} AS {name}") for name, sql in sums.items()]
 
 
 def _statistics_by(df: DataFrame, by) -> DataFrame:
-    banded = df.withColumns({"_true": _band(F.col("y")), "_guess": _band(F.col("yhat"))})
+    banded = df.withColumns({"_true": F.expr(band_sql("y")), "_guess": F.expr(band_sql("yhat"))})
     return banded.groupBy(*by).agg(*_statistics())
 
 
@@ -81,38 +61,34 @@ def _pool(stats: DataFrame, by) -> DataFrame:
     """Combine statistics of several outputs into those of their union."""
     added = [c for c in stats.columns if c not in by and c.startswith("_")]
     added = [c for c in added if c not in ("_mean", "_dev", "_lo", "_hi")]
-    n, mean = F.col("_n"), F.col("_mean")
-    between = F.sum(n * mean * mean) - F.sum(n * mean) * F.sum(n * mean) / F.sum(n)
+    between = "sum(_n * _mean * _mean) - sum(_n * _mean) * sum(_n * _mean) / sum(_n)"
     return stats.groupBy(*by).agg(
         *[F.sum(c).alias(c) for c in added],
-        (F.sum("_dev") + between).alias("_dev"),
+        F.expr(f"sum(_dev) + {between} AS _dev"),
         F.min("_lo").alias("_lo"),
         F.max("_hi").alias("_hi"),
     )
 
 
-def _regression(stats: DataFrame) -> dict[str, Column]:
-    mse = F.col("_se") / F.col("_n")
-    constant = F.col("_lo") == F.col("_hi")
-    r2 = F.when(constant, F.when(F.col("_se") == 0, 1.0).otherwise(0.0)).otherwise(
-        F.lit(1.0) - F.try_divide(F.col("_se"), F.col("_dev"))
+REGRESSION_SQL = {
+    "mse": "_se / _n",
+    "rmse": "sqrt(_se / _n)",
+    "mae": "_ae / _n",
+    # A constant observation has no variance to explain.
+    "r2": "CASE WHEN _lo <> _hi THEN 1D - try_divide(_se, _dev) WHEN _se = 0 THEN 1D ELSE 0D END",
+}
+_F1 = " + ".join(f"coalesce(try_divide(2D * _hit{b}, _true{b} + _guess{b}), 0D)" for b in BANDS)
+CATEGORY_SQL = {
+    "category_accuracy": "_same / _n",
+    "category_macro_f1": f"({_F1}) / {len(BANDS)}D",
+    "high_aqi_recall": "coalesce(try_divide(double(_high_hit), _high), 0D)",
+}
+
+
+def _finish(stats: DataFrame, by, metrics: dict[str, str]) -> DataFrame:
+    return stats.selectExpr(
+        *[f"`{c}`" for c in by], *[f"{sql} AS {name}" for name, sql in metrics.items()]
     )
-    return {"mse": mse, "rmse": F.sqrt(mse), "mae": F.col("_ae") / F.col("_n"), "r2": r2}
-
-
-def _category(stats: DataFrame) -> dict[str, Column]:
-    zero = F.lit(0.0)
-    scores = [
-        F.coalesce(
-            F.try_divide(2.0 * F.col(f"_hit{b}"), F.col(f"_true{b}") + F.col(f"_guess{b}")), zero
-        )
-        for b in BANDS
-    ]
-    return {
-        "category_accuracy": F.col("_same") / F.col("_n"),
-        "category_macro_f1": reduce(lambda a, b: a + b, scores) / F.lit(float(len(scores))),
-        "high_aqi_recall": F.coalesce(F.try_divide(F.col("_high_hit"), F.col("_high")), zero),
-    }
 
 
 def regression_metrics(df: DataFrame, by=(*KEYS, "model", "output")) -> DataFrame:
@@ -120,19 +96,15 @@ def regression_metrics(df: DataFrame, by=(*KEYS, "model", "output")) -> DataFram
 
     With a constant ``y``, r2 is 1 without any error and 0 otherwise.
     """
-    stats = _statistics_by(df, by)
-    return stats.select(*by, *[v.alias(k) for k, v in _regression(stats).items()])
+    return _finish(_statistics_by(df, by), by, REGRESSION_SQL)
 
 
 def category_metrics(df: DataFrame, by=(*KEYS, "model", "output")) -> DataFrame:
     """Category accuracy, macro F1 over all six bands, and recall of AQI 101 and above."""
-    stats = _statistics_by(df, by)
-    return stats.select(*by, *[v.alias(k) for k, v in _category(stats).items()])
+    return _finish(_statistics_by(df, by), by, CATEGORY_SQL)
 
 
-def _finish(stats: DataFrame, by) -> DataFrame:
-    values = {**_regression(stats), **_category(stats)}
-    return stats.select(*by, *[v.alias(k) for k, v in values.items()])
+ALL_SQL = {**REGRESSION_SQL, **CATEGORY_SQL}
 
 
 def evaluate_outputs(df: DataFrame, keys=KEYS) -> DataFrame:
@@ -141,18 +113,18 @@ def evaluate_outputs(df: DataFrame, keys=KEYS) -> DataFrame:
     stats = _statistics_by(df, [*by, "output"])
     pooled = _pool(stats, by).withColumn("output", F.lit("all"))
     columns = [*by, "output"]
-    return _finish(stats, columns).unionByName(_finish(pooled, columns))
+    return _finish(stats, columns, ALL_SQL).unionByName(_finish(pooled, columns, ALL_SQL))
 
 
 def evaluate_folds(df: DataFrame, keys=KEYS) -> DataFrame:
     """All metrics per fold, model and output."""
     by = [*keys, "fold", "model", "group", "output"]
-    return _finish(_statistics_by(df, by), by)
+    return _finish(_statistics_by(df, by), by, ALL_SQL)
 
 
 def rolling_origin_evaluation(per_fold: DataFrame, keys=KEYS) -> DataFrame:
     """Mean of the per-fold, per-output metrics by model and group (no pooling)."""
-    return per_fold.groupBy(*keys, "model", "group").agg(*[F.avg(m).alias(m) for m in METRICS])
+    return per_fold.groupBy(*keys, "model", "group").agg(*[F.avg(m).alias(m) for m in ALL_SQL])
 
 
 def release_gate(

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions.calendar import add_daily_calendar, add_hourly_calendar
-from hazeline.functions.common import fail_when, hour_floor, hours, present
+from hazeline.functions.common import any_null, fail_when, hour_floor, hours, present
 from hazeline.operators.aqi import AQI_REACH, add_hourly_aqi, last_rows, subindex_columns
 from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, Chunked, Grid, cut
-from hazeline.operators.quality import any_null
 from hazeline.schema import (
     BASE_COLUMNS,
     DAILY_AQI,
@@ -79,7 +78,7 @@ def hourly_targets(
     A block mean with any missing hour is null.
     """
     chunked = cut(df.select(*keys, grid.column, aqi), grid, back=1, ahead=LABEL_REACH, keys=keys)
-    guarded = chunked.then(lambda c: c.df.withColumn(aqi, c.checked(F.col(aqi))))
+    guarded = chunked.then(lambda c: c.df.withColumn(aqi, c.checked(aqi)))
     labelled = guarded.then(lambda c: c.df.withColumns(hourly_target_columns(c, aqi)))
     return labelled.result().select(*keys, grid.column, *TARGET_COLUMNS)
 
@@ -145,7 +144,7 @@ def daily_training_frame(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> D
     measures = present(df, BASE_COLUMNS)
     keep = df.select(*keys, grid.column, DAILY_AQI, *measures)
     chunked = cut(keep, grid, back=DAILY_REACH, ahead=DAILY_LABEL_REACH, keys=keys)
-    guarded = chunked.then(lambda c: c.df.withColumn(DAILY_AQI, c.checked(F.col(DAILY_AQI))))
+    guarded = chunked.then(lambda c: c.df.withColumn(DAILY_AQI, c.checked(DAILY_AQI)))
     windows = guarded.then(
         lambda c: c.df.withColumns(daily_lag_roll_columns(c) | daily_target_columns(c))
     )

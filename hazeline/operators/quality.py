@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazeline.functions.common import hour_floor
+from hazeline.functions.common import any_null, hour_floor
 from hazeline.operators.chunks import CHUNK, DAILY_GRID, HOURLY_GRID, Grid
 from hazeline.schema import KEYS, PROVIDER, TIME
 
@@ -122,7 +122,7 @@ def gap_report(df: DataFrame, keys=KEYS) -> DataFrame:
 def missing_value_report(df: DataFrame, keys=KEYS) -> DataFrame:
     """Null count per series and column."""
     columns = [c for c in df.columns if c not in keys]
-    counts = df.groupBy(*keys).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    counts = df.groupBy(*keys).agg(*[F.expr(f"count_if(`{c}` IS NULL)").alias(c) for c in columns])
     return _unpivot(counts, keys, columns, "column", "missing")
 
 
@@ -133,13 +133,6 @@ def completeness(df: DataFrame, columns, keys=KEYS) -> DataFrame:
     )
 
 
-def any_null(columns) -> Column:
-    condition = F.lit(False)
-    for c in columns:
-        condition = condition | F.col(c).isNull()
-    return condition
-
-
 def require_complete(df: DataFrame, columns, keys=KEYS) -> DataFrame:
     if df.where(any_null(columns)).limit(1).count():
         raise ValueError(f"missing observed values in {', '.join(columns)}")

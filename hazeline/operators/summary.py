@@ -107,7 +107,7 @@ def aqi_category_counts(
     if last is not None:
         rows = tail(rows, last, grid, keys)
     return (
-        rows.select(*keys, aqi_category(F.col(aqi)).alias("aqi_category"))
+        rows.select(*keys, aqi_category(aqi).alias("aqi_category"))
         .where(F.col("aqi_category").isNotNull())
         .groupBy(*keys, "aqi_category")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -33,7 +33,7 @@ from hazeline.schema import (
     TREND_COLUMNS,
     hourly_feature_columns,
 )
-from hazeline.session import configure
+from hazeline.session import configure, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,16 +48,16 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Floats to a fixed number of decimals, whole numbers as BIGINT and dates as text."""
 
     def shape(field):
-        c = F.col(f"`{field.name}`")
+        c = f"`{field.name}`"
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = f"round(double({c}), {digits})"
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            c = c.cast("bigint")
+            c = f"bigint({c})"
         elif isinstance(field.dataType, T.DateType):
-            c = c.cast("string")
-        return c.alias(field.name)
+            c = f"string({c})"
+        return f"{c} AS `{field.name}`"
 
-    return df.select(*[shape(f) for f in df.schema.fields])
+    return df.selectExpr(*[shape(f) for f in df.schema.fields])
 
 
 def query(name: str, oracle: str | None = None, digits: int = 6):
@@ -156,8 +156,8 @@ def localised(spark, sf_dir):
 def epa_units(spark, sf_dir):
     return data.hourly_master(spark, sf_dir).select(
         *SERIES_TIME,
-        *[to_epa_units(F.col(p), p).alias(p) for p in UNIT_FACTORS],
-        epa_truncate(F.col("pm2_5"), 1).alias("pm2_5"),
+        *[to_epa_units(p, p).alias(p) for p in UNIT_FACTORS],
+        epa_truncate("pm2_5", 1).alias("pm2_5"),
     )
 
 
@@ -702,8 +702,18 @@ def hourly_observations(spark, sf_dir):
     )
 
 
+STORED: dict[tuple[str, str], str] = {}
+
+
 def training(spark, sf_dir) -> DataFrame:
-    return features.hourly_training_frame(data.hourly_master(spark, sf_dir))
+    """The training frame as a stored table: splits and fits read it several times."""
+    place = (spark.sparkContext.applicationId, sf_dir)
+    if place not in STORED:
+        folder = shared_folder(spark, "hourly_features")
+        frame = features.hourly_training_frame(data.hourly_master(spark, sf_dir))
+        frame.write.parquet(folder)
+        STORED[place] = folder
+    return spark.read.parquet(STORED[place])
 
 
 @query(
@@ -711,7 +721,7 @@ def training(spark, sf_dir) -> DataFrame:
     sql.shaped("SELECT * FROM training", floats=[*FEATURE_FLOATS, *TARGET_COLUMNS]),
 )
 def hourly_training_frame(spark, sf_dir):
-    return training(spark, sf_dir)
+    return features.hourly_training_frame(data.hourly_master(spark, sf_dir))
 
 
 @query(

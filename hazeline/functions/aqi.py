@@ -6,7 +6,7 @@ expressions are given to Spark as SQL text, which it parses in one call.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions.common import double, greatest_of
@@ -141,24 +141,41 @@ def to_epa_units(value: str, pollutant: str) -> Column:
     return F.expr(units_sql(value, pollutant))
 
 
-def subindex_sql(value: str, table: str, on_negative: str = "error") -> str:
+def _cut_sql(value: str, table: str, on_negative: str) -> str:
+    """Truncated concentration; a negative one fails the job or is null."""
+    message = f"raise_error(concat('negative {table} concentration: ', {value}))"
+    negative = message if on_negative == "error" else "NULL"
+    return f"CASE WHEN {value} < 0 THEN {negative} ELSE {truncate_sql(value, TRUNCATION_DECIMALS[table])} END"
+
+
+def _row_sql(cut: str, table: str) -> str:
+    """Number of the breakpoint row; one past the last above the table, null below it."""
+    rows = BREAKPOINTS[table]
+    arms = [f"WHEN {cut} < {double(rows[0][0])} THEN NULL"]
+    arms += [f"WHEN {cut} <= {double(high)} THEN {i}" for i, (_, high, *_) in enumerate(rows)]
+    return f"CASE {' '.join(arms)} WHEN {cut} IS NOT NULL THEN {len(rows)} END"
+
+
+def _index_sql(cut: str, row: str, table: str) -> str:
+    """Linear interpolation in the breakpoint row, rounded half up; 500 past the last row."""
+    rows = [*BREAKPOINTS[table], (0.0, 1.0, 500, 500)]
+    base, rise, low, run = (
+        f"get(array({', '.join(double(v) for v in values)}), {row})"
+        for values in (
+            [a for _, _, a, _ in rows],
+            [b - a for _, _, a, b in rows],
+            [lo for lo, *_ in rows],
+            [hi - lo for lo, hi, *_ in rows],
+        )
+    )
+    return f"double(floor({base} + {rise} * ({cut} - {low}) / {run} + 0.5D))"
+
+
+def _check(table: str, on_negative: str) -> None:
     if table not in BREAKPOINTS:
         raise KeyError(f"no AQI breakpoints for {table!r}")
     if on_negative not in ("error", "null"):
         raise ValueError("on_negative is 'error' or 'null'")
-    rows = BREAKPOINTS[table]
-    cut = truncate_sql(value, TRUNCATION_DECIMALS[table])
-    negative = (
-        f"raise_error(concat('negative {table} concentration: ', {value}))"
-        if on_negative == "error"
-        else "NULL"
-    )
-    arms = [f"WHEN {value} < 0 THEN {negative}", f"WHEN {cut} < {double(rows[0][0])} THEN NULL"]
-    for low, high, index_low, index_high in rows:
-        rise, run = double(index_high - index_low), double(high - low)
-        index = f"{double(index_low)} + {rise} * ({cut} - {double(low)}) / {run}"
-        arms.append(f"WHEN {cut} <= {double(high)} THEN double(floor({index} + 0.5D))")
-    return f"CASE {' '.join(arms)} WHEN {cut} IS NOT NULL THEN 500D END"
 
 
 def aqi_subindex(value: str, table: str, on_negative: str = "error") -> Column:
@@ -167,11 +184,31 @@ def aqi_subindex(value: str, table: str, on_negative: str = "error") -> Column:
     Null stays null, values above the table score 500 and values below its first
     row have no index. A negative value fails the job, or is null on request.
     """
-    return F.expr(subindex_sql(value, table, on_negative))
+    _check(table, on_negative)
+    cut = _cut_sql(value, table, on_negative)
+    return F.expr(_index_sql(f"({cut})", f"({_row_sql(f'({cut})', table)})", table))
+
+
+def with_subindices(
+    df: DataFrame, values: dict[str, tuple[str, str]], on_negative: str = "error"
+) -> DataFrame:
+    """Add several sub-indices, given as name: (concentration in table units, table).
+
+    Truncation, row and interpolation are columns of their own, which keeps the
+    generated methods small enough for the JIT compiler.
+    """
+    for _, table in values.values():
+        _check(table, on_negative)
+    cuts = {f"_cut_{k}": F.expr(_cut_sql(v, t, on_negative)) for k, (v, t) in values.items()}
+    rows = {f"_row_{k}": F.expr(_row_sql(f"_cut_{k}", t)) for k, (_, t) in values.items()}
+    indices = {
+        k: F.expr(_index_sql(f"_cut_{k}", f"_row_{k}", t)) for k, (_, t) in values.items()
+    }
+    return df.withColumns(cuts).withColumns(rows).withColumns(indices).drop(*cuts, *rows)
 
 
 def category_sql(value: str) -> str:
-    rounded = f"bround({value}, 0)"
+    rounded = f"rint({value})"
     arms = [f"WHEN {rounded} < 0 THEN NULL"]
     arms += [f"WHEN {rounded} <= {double(high)} THEN '{name}'" for high, name in CATEGORIES[:-1]]
     return f"CASE {' '.join(arms)} WHEN {value} IS NOT NULL THEN '{CATEGORIES[-1][1]}' END"
@@ -184,7 +221,7 @@ def aqi_category(value: str) -> Column:
 
 def band_sql(value: str) -> str:
     """Number of the category, for counting."""
-    rounded = f"bround({value}, 0)"
+    rounded = f"rint({value})"
     arms = [f"WHEN {rounded} < 0 THEN NULL"]
     arms += [f"WHEN {rounded} <= {double(high)} THEN {i}" for i, (high, _) in enumerate(CATEGORIES[:-1])]
     return f"CASE {' '.join(arms)} WHEN {value} IS NOT NULL THEN {len(CATEGORIES) - 1} END"

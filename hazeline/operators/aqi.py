@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from hazeline.functions.aqi import (
     SUBINDEX_ORDER,
     aqi_category,
-    aqi_subindex,
     dominant_pollutant,
     subindex_name,
-    subindex_sql,
     to_epa_units,
+    with_subindices,
 )
 from hazeline.functions.common import greatest_of, present, snap_sql
-from hazeline.operators.chunks import CHUNK, HOURLY_GRID, Chunked, Grid, cut
+from hazeline.operators.chunks import CHUNK, HOURLY_GRID, Chunked, Grid, cut, sums_name
 from hazeline.schema import DAILY_AQI, DATE, HOURLY_AQI, KEYS, TIME
 
 # Rows the longest concentration window looks back.
@@ -23,6 +22,8 @@ AQI_REACH = 23
 # Averaging hours; gases without an entry use the hourly value.
 AVERAGING_HOURS = {"pm2_5": 24, "pm10": 24, "carbon_monoxide": 8, "ozone": 8}
 PARTICLES = ("pm2_5", "pm10")
+# Concentrations are summed in billionths, which is exact for up to nine decimals.
+CONCENTRATION_UNITS = 1e9
 
 
 def subindex_columns(df: DataFrame) -> list[str]:
@@ -35,35 +36,33 @@ def add_subindices(chunked: Chunked) -> DataFrame:
     pollutants = present(df, SUBINDEX_ORDER)
     if not pollutants:
         raise ValueError("no pollutant column with an AQI table")
+    averaged = [p for p in pollutants if p in AVERAGING_HOURS]
+    summed = chunked.with_sums(averaged, CONCENTRATION_UNITS)
     means = {
-        f"_mean_{p}": chunked.snapped_mean(p, AVERAGING_HOURS[p])
-        for p in pollutants
-        if p in AVERAGING_HOURS
+        f"_mean_{p}": F.expr(
+            snap_sql(summed.summed_mean(p, 1 - AVERAGING_HOURS[p], 0, CONCENTRATION_UNITS))
+        )
+        for p in averaged
     }
-    # The concentrations in table units, then the indices: each step is a plain column
-    # of the one before, so no expression repeats another.
     units = {
         f"_value_{p}": to_epa_units(f"_mean_{p}" if p in AVERAGING_HOURS else p, p)
         for p in pollutants
     }
+    tables = {subindex_name(p): (f"_value_{p}", p) for p in pollutants if p != "ozone"}
     if "ozone" in pollutants:
+        # Ozone takes the larger of its 8-hour and its 1-hour index.
         units["_value_ozone_1h"] = to_epa_units("ozone", "ozone")
-    indices = {}
-    for p in pollutants:
-        if p == "ozone":
-            both = [subindex_sql("_value_ozone", "ozone_8h"), subindex_sql("_value_ozone_1h", "ozone_1h")]
-            indices[subindex_name(p)] = F.expr(greatest_of(both))
-        else:
-            indices[subindex_name(p)] = aqi_subindex(f"_value_{p}", p)
-    # The cadence guard rides on the first index, inside the same window.
+        tables["_index_8h"] = ("_value_ozone", "ozone_8h")
+        tables["_index_1h"] = ("_value_ozone_1h", "ozone_1h")
+    # The cadence guard rides on one index, inside the same window.
     ok = "_cadence_ok"
+    df = summed.df.withColumns({**means, ok: chunked.checked("true")}).withColumns(units)
+    df = with_subindices(df, tables)
+    if "ozone" in pollutants:
+        df = df.withColumn(subindex_name("ozone"), F.greatest("_index_8h", "_index_1h"))
     first = subindex_name(pollutants[0])
-    indices[first] = F.when(F.col(ok), indices[first])
-    return (
-        df.withColumns({**means, ok: chunked.checked("true")})
-        .withColumns(units)
-        .withColumns(indices)
-        .drop(*means, *units, ok)
+    return df.withColumn(first, F.when(F.col(ok), F.col(first))).drop(
+        *means, *units, *map(sums_name, averaged), "_index_8h", "_index_1h", ok
     )
 
 
@@ -116,9 +115,9 @@ def finish_daily(daily: DataFrame, pollutants: list[str]) -> DataFrame:
     """Particle indices from whole-day means, then AQI, category and dominant pollutant."""
     particles = [p for p in pollutants if p in PARTICLES]
     columns = [subindex_name(p) for p in pollutants]
-    daily = daily.withColumns(
-        {subindex_name(p): aqi_subindex(f"_day_{p}", p) for p in particles}
-    ).drop(*[f"_day_{p}" for p in particles])
+    daily = with_subindices(daily, {subindex_name(p): (f"_day_{p}", p) for p in particles}).drop(
+        *[f"_day_{p}" for p in particles]
+    )
     daily = daily.withColumn(DAILY_AQI, F.expr(greatest_of(columns)))
     return daily.withColumns(
         {

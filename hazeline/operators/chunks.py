@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.functions.common import snap_sql
+from hazeline.functions.common import double
 from hazeline.schema import DATE, KEYS, TIME
 
 CHUNK = "_chunk"
@@ -47,6 +47,10 @@ HOURLY_GRID = Grid(TIME, "hour", 180 * 24)
 DAILY_GRID = Grid(DATE, "day", 2048)
 
 
+def sums_name(column: str) -> str:
+    return f"_sums_{column}"
+
+
 def _edge(rows: int) -> str:
     if rows == 0:
         return "CURRENT ROW"
@@ -92,12 +96,57 @@ class Chunked:
     def trailing_mean(self, column: str, rows: int) -> Column:
         return self.mean(column, -(rows - 1), 0)
 
-    def snapped_mean(self, column: str, rows: int) -> Column:
-        return F.expr(snap_sql(self.full("avg", column, -(rows - 1), 0)))
-
     def trailing_std(self, column: str, rows: int) -> Column:
         return F.expr(self.full("stddev_samp", column, -(rows - 1), 0))
 
+    def with_sums(self, columns, scale: float, squares: bool = False) -> Chunked:
+        """Add running sums of ``columns`` in whole multiples of ``1 / scale``.
+
+        A frame's sum is then a difference of two rows, whatever its length, and
+        whole numbers make the difference exact. A chunk bounds the totals; an
+        overflow would fail the job.
+        """
+        over = f"OVER (PARTITION BY {', '.join([*self.keys, CHUNK])} ORDER BY {self.grid.column} "
+        over += "ROWS UNBOUNDED PRECEDING)"
+        added = {}
+        for c in columns:
+            units = f"bigint(rint({c} * {double(scale)}))"
+            fields = f"'n', count({c}) {over}, 's', coalesce(sum({units}) {over}, 0L)"
+            if squares:
+                fields += f", 'q', coalesce(sum({units} * {units}) {over}, 0L)"
+            added[sums_name(c)] = F.expr(f"named_struct({fields})")
+        return replace(self, df=self.df.withColumns(added))
+
+    def _between(self, column: str, field: str, start: int, end: int) -> str:
+        """Total of rows ``start..end`` around the row, from two running sums."""
+
+        def at(offset: int) -> str:
+            name = sums_name(column)
+            if offset == 0:
+                return f"{name}.{field}"
+            function = "lag" if offset < 0 else "lead"
+            return f"({function}({name}, {abs(offset)}) {self.over()}).{field}"
+
+        # Before the first row of the chunk the running sum is zero.
+        return f"({at(end)} - coalesce({at(start - 1)}, 0L))"
+
+    def summed_mean(self, column: str, start: int, end: int, scale: float) -> str:
+        """Mean over rows ``start..end`` from running sums; null unless all have a value."""
+        rows = end - start + 1
+        count, total = (self._between(column, f, start, end) for f in ("n", "s"))
+        return f"CASE WHEN {count} = {rows} THEN {total} / {double(rows * scale)} END"
+
+    def summed_std(self, column: str, rows: int, scale: float) -> str:
+        """Sample deviation over the last ``rows`` rows from running sums and squares."""
+        count, total, squares = (
+            self._between(column, f, -(rows - 1), 0) for f in ("n", "s", "q")
+        )
+        spread = f"({rows} * {squares} - {total} * {total})"
+        return (
+            f"CASE WHEN {count} = {rows} "
+            f"THEN sqrt({spread} / {double(rows * (rows - 1))}) / {double(scale)} END"
+        )
+
     def checked(self, value: str) -> Column:
         """``value``, failing on a duplicate or a skipped step before the row."""
         now = self.grid.column

@@ -16,15 +16,40 @@ from hazeline.schema import KEYS, OUTPUTS
 BANDS = range(len(CATEGORIES))
 
 
+INDEX = "output_index"
+_NAMES = ", ".join(f"'{name}'" for name, *_ in OUTPUTS)
+_GROUPS = ", ".join(f"'{group}'" for _, group, *_ in OUTPUTS)
+
+
 def to_long(df: DataFrame, models, keep=KEYS) -> DataFrame:
-    """One row per model and output with the observed ``y`` and the predicted ``yhat``."""
-    cells = ", ".join(
-        f"named_struct('model', '{m}', 'output', '{name}', 'group', '{group}', "
-        f"'y', {name}, 'yhat', {prediction(m, name)})"
+    """One row per model and output with the observed ``y`` and the predicted ``yhat``.
+
+    Outputs are numbered from 0, which keeps the rows to be aggregated small.
+    """
+
+    def values(names) -> str:
+        return f"array({', '.join(names)})"
+
+    names = [name for name, *_ in OUTPUTS]
+    forecasts = ", ".join(
+        f"named_struct('model', '{m}', '_p', {values(prediction(m, n) for n in names)})"
         for m in models
-        for name, group, *_ in OUTPUTS
     )
-    return df.selectExpr(*keep, f"inline(array({cells}))")
+    return (
+        df.selectExpr(*keep, f"{values(names)} AS _y", f"inline(array({forecasts}))")
+        .selectExpr("*", f"explode(sequence(0, {len(names) - 1})) AS {INDEX}")
+        .selectExpr(*keep, "model", INDEX, f"_y[{INDEX}] AS y", f"_p[{INDEX}] AS yhat")
+    )
+
+
+def name_outputs(df: DataFrame) -> DataFrame:
+    """Replace the output number by the output's name and group."""
+    return df.withColumns(
+        {
+            "output": F.expr(f"array({_NAMES})[{INDEX}]"),
+            "group": F.expr(f"array({_GROUPS})[{INDEX}]"),
+        }
+    ).drop(INDEX)
 
 
 def _statistics() -> list[Column]:
@@ -91,7 +116,7 @@ def _finish(stats: DataFrame, by, metrics: dict[str, str]) -> DataFrame:
     )
 
 
-def regression_metrics(df: DataFrame, by=(*KEYS, "model", "output")) -> DataFrame:
+def regression_metrics(df: DataFrame, by=(*KEYS, "model", INDEX)) -> DataFrame:
     """mse, rmse, mae and r2 of ``yhat`` against ``y``.
 
     With a constant ``y``, r2 is 1 without any error and 0 otherwise.
@@ -99,7 +124,7 @@ def regression_metrics(df: DataFrame, by=(*KEYS, "model", "output")) -> DataFram
     return _finish(_statistics_by(df, by), by, REGRESSION_SQL)
 
 
-def category_metrics(df: DataFrame, by=(*KEYS, "model", "output")) -> DataFrame:
+def category_metrics(df: DataFrame, by=(*KEYS, "model", INDEX)) -> DataFrame:
     """Category accuracy, macro F1 over all six bands, and recall of AQI 101 and above."""
     return _finish(_statistics_by(df, by), by, CATEGORY_SQL)
 
@@ -110,7 +135,7 @@ ALL_SQL = {**REGRESSION_SQL, **CATEGORY_SQL}
 def evaluate_outputs(df: DataFrame, keys=KEYS) -> DataFrame:
     """All metrics per model and output, plus rows with output ``all`` that pool a group."""
     by = [*keys, "model", "group"]
-    stats = _statistics_by(df, [*by, "output"])
+    stats = name_outputs(_statistics_by(df, [*keys, "model", INDEX]))
     pooled = _pool(stats, by).withColumn("output", F.lit("all"))
     columns = [*by, "output"]
     return _finish(stats, columns, ALL_SQL).unionByName(_finish(pooled, columns, ALL_SQL))
@@ -118,8 +143,9 @@ def evaluate_outputs(df: DataFrame, keys=KEYS) -> DataFrame:
 
 def evaluate_folds(df: DataFrame, keys=KEYS) -> DataFrame:
     """All metrics per fold, model and output."""
-    by = [*keys, "fold", "model", "group", "output"]
-    return _finish(_statistics_by(df, by), by, ALL_SQL)
+    by = [*keys, "fold", "model"]
+    stats = name_outputs(_statistics_by(df, [*by, INDEX]))
+    return _finish(stats, [*by, "group", "output"], ALL_SQL)
 
 
 def rolling_origin_evaluation(per_fold: DataFrame, keys=KEYS) -> DataFrame:

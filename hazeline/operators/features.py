@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hazeline.functions.calendar import add_daily_calendar, add_hourly_calendar
 from hazeline.functions.common import any_null, fail_when, hour_floor, hours, present
 from hazeline.operators.aqi import AQI_REACH, add_hourly_aqi, last_rows, subindex_columns
-from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, Chunked, Grid, cut
+from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, Chunked, Grid, cut, sums_name
 from hazeline.schema import (
     BASE_COLUMNS,
     DAILY_AQI,
@@ -34,16 +34,29 @@ DAILY_REACH = max(DAILY_LAGS)
 DAILY_LABEL_REACH = max(DAILY_HORIZONS)
 
 
+# AQI values are whole numbers, so their sums and squares in thousandths are exact.
+AQI_UNITS = 1e3
+
+
+def with_aqi_sums(chunked: Chunked, aqi: str = HOURLY_AQI) -> Chunked:
+    return chunked.with_sums([aqi], AQI_UNITS, squares=True)
+
+
 def hourly_lag_roll_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str, Column]:
+    """Needs the running sums of :func:`with_aqi_sums`."""
     columns = {f"aqi_lag_{k}h": chunked.lag(aqi, k) for k in HOURLY_LAGS}
-    columns |= {f"aqi_rolling_{k}h_mean": chunked.trailing_mean(aqi, k) for k in HOURLY_WINDOWS}
-    columns |= {f"aqi_rolling_{k}h_std": chunked.trailing_std(aqi, k) for k in HOURLY_WINDOWS}
+    for k in HOURLY_WINDOWS:
+        columns[f"aqi_rolling_{k}h_mean"] = F.expr(chunked.summed_mean(aqi, 1 - k, 0, AQI_UNITS))
+        columns[f"aqi_rolling_{k}h_std"] = F.expr(chunked.summed_std(aqi, k, AQI_UNITS))
     return columns
 
 
 def hourly_target_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str, Column]:
+    """Needs the running sums of :func:`with_aqi_sums`."""
     return {
-        name: chunked.lead(aqi, start) if start == end else chunked.mean(aqi, start, end)
+        name: chunked.lead(aqi, start)
+        if start == end
+        else F.expr(chunked.summed_mean(aqi, start, end, AQI_UNITS))
         for name, _, _, start, end in OUTPUTS
     }
 
@@ -66,8 +79,9 @@ def daily_target_columns(chunked: Chunked, horizons=DAILY_HORIZONS) -> dict[str,
 
 def add_hourly_lag_roll(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
     """AQI lags of 1 and 24 hours, rolling mean and sample deviation over 6 and 24."""
-    chunked = cut(df, grid, back=HOURLY_LAG_REACH, keys=keys)
-    return chunked.then(lambda c: c.df.withColumns(hourly_lag_roll_columns(c))).result()
+    chunked = with_aqi_sums(cut(df, grid, back=HOURLY_LAG_REACH, keys=keys))
+    added = chunked.then(lambda c: c.df.withColumns(hourly_lag_roll_columns(c)))
+    return added.result().drop(sums_name(HOURLY_AQI))
 
 
 def hourly_targets(
@@ -79,7 +93,8 @@ def hourly_targets(
     """
     chunked = cut(df.select(*keys, grid.column, aqi), grid, back=1, ahead=LABEL_REACH, keys=keys)
     guarded = chunked.then(lambda c: c.df.withColumn(aqi, c.checked(aqi)))
-    labelled = guarded.then(lambda c: c.df.withColumns(hourly_target_columns(c, aqi)))
+    summed = with_aqi_sums(guarded, aqi)
+    labelled = summed.then(lambda c: c.df.withColumns(hourly_target_columns(c, aqi)))
     return labelled.result().select(*keys, grid.column, *TARGET_COLUMNS)
 
 
@@ -97,7 +112,9 @@ def daily_targets(
     return chunked.then(lambda c: c.df.withColumns(daily_target_columns(c, horizons))).result()
 
 
-def hourly_training_frame_of(chunked: Chunked, include_targets: bool = True) -> DataFrame:
+def hourly_training_frame_of(
+    chunked: Chunked, include_targets: bool = True, drop_unlabelled: bool = True
+) -> DataFrame:
     """Features, and labels if asked for, of hourly rows cut with the frame's reach."""
     measures = present(chunked.df, BASE_COLUMNS)
     indexed = chunked.then(add_hourly_aqi)
@@ -116,25 +133,32 @@ def hourly_training_frame_of(chunked: Chunked, include_targets: bool = True) ->
 
     features = hourly_feature_columns(measures)
     targets = list(TARGET_COLUMNS) if include_targets else []
-    frame = add_hourly_calendar(complete.then(window_columns).result(), chunked.grid.column)
+    summed = with_aqi_sums(complete)
+    frame = add_hourly_calendar(summed.then(window_columns).result(), chunked.grid.column)
+    required = [*features, *targets] if drop_unlabelled else features
     return frame.select(*chunked.keys, chunked.grid.column, *features, *targets).dropna(
-        subset=[*features, *targets]
+        subset=required
     )
 
 
 def hourly_training_frame(
-    df: DataFrame, include_targets: bool = True, keys=KEYS, grid: Grid = HOURLY_GRID
+    df: DataFrame,
+    include_targets: bool = True,
+    drop_unlabelled: bool = True,
+    keys=KEYS,
+    grid: Grid = HOURLY_GRID,
 ) -> DataFrame:
     """AQI, observed measures, lags, rolling statistics and calendar, then the labels.
 
     Rows with any null are dropped after the windows ran. A missing observation,
-    a duplicate hour or a gap fails the job.
+    a duplicate hour or a gap fails the job. Without ``drop_unlabelled`` rows whose
+    labels are not known yet stay, with null labels.
     """
     keep = df.select(*keys, grid.column, *present(df, BASE_COLUMNS))
     chunked = cut(
         keep, grid, back=HOURLY_REACH, ahead=LABEL_REACH if include_targets else 0, keys=keys
     )
-    return hourly_training_frame_of(chunked, include_targets)
+    return hourly_training_frame_of(chunked, include_targets, drop_unlabelled)
 
 
 def daily_training_frame(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> DataFrame:

@@ -850,7 +850,8 @@ BY_OUTPUT = "SELECT series_id, model, output, {} FROM cells GROUP BY 1, 2, 3"
     sql.shaped(BY_OUTPUT.format(sql.named(sql.REGRESSION_SQL)), floats=sql.REGRESSION_SQL),
 )
 def regression_metrics(spark, sf_dir):
-    return evaluation.regression_metrics(holdout_cells(spark, sf_dir))
+    metrics = evaluation.regression_metrics(holdout_cells(spark, sf_dir))
+    return evaluation.name_outputs(metrics).drop("group")
 
 
 @query(
@@ -858,7 +859,8 @@ def regression_metrics(spark, sf_dir):
     sql.shaped(BY_OUTPUT.format(sql.named(sql.CATEGORY_SQL)), floats=sql.CATEGORY_SQL),
 )
 def category_metrics(spark, sf_dir):
-    return evaluation.category_metrics(holdout_cells(spark, sf_dir))
+    metrics = evaluation.category_metrics(holdout_cells(spark, sf_dir))
+    return evaluation.name_outputs(metrics).drop("group")
 
 
 @query(

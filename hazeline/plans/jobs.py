@@ -28,8 +28,6 @@ from hazeline.schema import (
 )
 from hazeline.sources import store
 
-GROUP_OF = {name: group for name, group, *_ in OUTPUTS}
-
 
 def build_features_job(
     spark: SparkSession, air: DataFrame, weather: DataFrame, root: str, created_at: str
@@ -45,34 +43,17 @@ def build_features_job(
     return store.backfill_daily(spark, daily, root, source="merged", created_at=created_at)
 
 
-def _group_column(output: str = "output"):
-    arms = " ".join(f"WHEN '{n}' THEN '{g}'" for n, g in GROUP_OF.items())
-    return F.expr(f"CASE {output} {arms} END")
-
-
-def _observed(rows: DataFrame, keep) -> DataFrame:
-    """Labels of test rows, one row per output."""
-    return rows.unpivot(list(keep), list(TARGET_COLUMNS), "output", "y")
-
-
 def _baseline_cells(rows: DataFrame, keep) -> DataFrame:
-    long = evaluation.to_long(rows, ("persistence", "seasonal_persistence"), keep)
-    return long.select(*keep, "model", "group", "output", "y", "yhat")
+    return evaluation.to_long(rows, ("persistence", "seasonal_persistence"), keep)
 
 
 def _ridge_cells(rows: DataFrame, models: DataFrame, features, keep) -> DataFrame:
     """Ridge predictions next to the labels of the same rows, in one pass over them."""
     on = [k for k in keep if k in models.columns]
-    both = ridge.predict(rows, models, features, on, (*keep, TIME, *TARGET_COLUMNS))
-    y = "CASE output " + " ".join(f"WHEN '{t}' THEN {t}" for t in TARGET_COLUMNS) + " END"
-    return both.select(
-        *keep,
-        F.lit("ridge").alias("model"),
-        _group_column().alias("group"),
-        "output",
-        F.expr(y).alias("y"),
-        "yhat",
-    )
+    labelled = rows.withColumn("_y", F.array(*TARGET_COLUMNS))
+    both = ridge.predict(labelled, models, features, on, (*keep, "_y"))
+    index = evaluation.INDEX
+    return both.selectExpr(*keep, "'ridge' AS model", index, f"_y[{index}] AS y", "yhat")
 
 
 def train_hourly_job(
@@ -145,14 +126,13 @@ def train_hourly_job(
 
 def _boosted_cells(train, test, features, keep, settings) -> DataFrame:
     parts = []
-    for target in TARGET_COLUMNS:
+    for index, target in enumerate(TARGET_COLUMNS):
         model = trees.fit_boosted(train, features, target, **settings)
         parts.append(
             trees.score(model, test, features).select(
                 *keep,
                 F.lit("xgboost").alias("model"),
-                F.lit(GROUP_OF[target]).alias("group"),
-                F.lit(target).alias("output"),
+                F.lit(index).alias(evaluation.INDEX),
                 F.col(target).alias("y"),
                 "yhat",
             )

@@ -187,9 +187,14 @@ def backfill_hourly(
     write_feature_table(raw, root, "hourly_raw", measures, **info)
     # Read back, so that neither frame recomputes the input.
     stored = raw if not replace else get_hourly_raw(spark, root)
-    observed = hourly_training_frame(stored, include_targets=False)
-    write_feature_table(observed, root, "hourly_observations", features, **info)
-    full = hourly_training_frame(stored)
+    # One pass builds features and labels; both tables are cut from its result.
+    staged = f"{root}/staging/{uuid.uuid4().hex}"
+    hourly_training_frame(stored, drop_unlabelled=False).write.parquet(staged)
+    built = spark.read.parquet(staged)
+    write_feature_table(
+        built.drop(*TARGET_COLUMNS), root, "hourly_observations", features, **info
+    )
+    full = built.dropna(subset=list(TARGET_COLUMNS))
     missing = [c for c in features if c not in full.columns]
     if missing:
         raise ValueError(f"labelled frame lacks observation columns {missing}")

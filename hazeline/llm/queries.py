@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import decontaminate, exact_dedup, packing, token_store
+from hazeline.llm import decontaminate, exact_dedup, jaccard, language, licenses, packing, token_store
 from hazeline.llm.common import documents
 from hazeline.session import shared_folder
 
@@ -72,6 +72,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+@query("op3_licenses")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 @query(
     "op4_exact_dedup",
     """
@@ -87,8 +92,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(docs, exact_dedup.newer_half(docs))
 
 
+@query("op8_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir))
+
+
 @query("op9_token_ids")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token_ids")
     token_store.write_tokens(documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"))
     return token_store.read_tokens(spark, path)
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(documents(spark, sf_dir))

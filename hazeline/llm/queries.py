@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazeline.llm import decontaminate, exact_dedup, jaccard, language, licenses, packing, token_store
+from hazeline.llm import decontaminate, exact_dedup, jaccard, language, licenses, packing, passages, token_store
 from hazeline.llm.common import documents
 from hazeline.session import shared_folder
 
@@ -92,6 +92,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(docs, exact_dedup.newer_half(docs))
 
 
+@query("op7_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(documents(spark, sf_dir))
+
+
 @query("op8_jaccard")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf_dir))

@@ -35,6 +35,11 @@ def land(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that columns of any name can travel beside a step's own; ``select("row.*")`` undoes it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def utf8(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")

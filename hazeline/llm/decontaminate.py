@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import WORD_BYTES, utf8
+from hazeline.llm.common import WORD_BYTES, utf8, whole_row
 
 WINDOW = 13
 #: Characters of items in one automaton: about 1 GB of nodes at worst.
@@ -88,64 +88,61 @@ def offsets(text: str, hit: np.ndarray) -> list[dict[str, int]]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and a struct ``_found`` of RESULT. No shuffle while the items fit one automaton."""
+    """(row, utf8, found): each row of ``docs`` and what was found. No shuffle while the items fit one automaton."""
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("id"), utf8().alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // PART_CHARS) or 1
-    out = docs
+    out = docs.select(whole_row(docs), utf8().alias("utf8"), F.lit(None).cast(RESULT).alias("found"))
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        # PART_CHARS characters, give or take the evenness of a hash.
         shared = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in some.collect()])
-        out = _scanned(out, shared, first=part == 0)
+        out = out.mapInArrow(scanner(shared), out.schema)
     return out
 
 
-def _scanned(docs: DataFrame, shared, first: bool) -> DataFrame:
-    columns = [c for c in docs.columns if c != "_found"]
+def scanner(shared):
+    """A task function that adds one automaton's hits to ``found``."""
     kind = pa.struct(
         [("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(SPAN)), ("hit", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = automaton(shared.value)
+        held = automaton(shared.value)
         for batch in batches:
             rows = []
-            for k, text in enumerate(batch.column("_utf8")):
-                text = text.as_py()
-                n, hit, ids = scan(found, text)
-                if not first and (before := batch.column("_found")[k].as_py())["hit"]:
-                    hit = np.union1d(hit, before["hit"])
-                if not first:
-                    ids = ids.union(before["item_ids"])
+            for text, before in zip(batch.column("utf8"), batch.column("found"), strict=True):
+                text, before = text.as_py(), before.as_py()
+                n, hit, ids = scan(held, text)
+                if before is not None:
+                    hit, ids = np.union1d(hit, np.array(before["hit"], np.int64)), ids.union(before["item_ids"])
                 spans = offsets(text.decode(), hit) if len(hit) else []
                 rows.append({"n_words": n, "n_hit": len(hit), "item_ids": sorted(ids), "spans": spans, "hit": hit.tolist()})
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(rows, kind)], names=[*columns, "_found"]
+                [batch.column("row"), batch.column("utf8"), pa.array(rows, kind)], names=["row", "utf8", "found"]
             )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*[F.col(f"`{c}`") for c in columns]).dtypes)
-    return docs.withColumn("_utf8", utf8()).mapInArrow(run, f"{schema}, _found {RESULT}")
+    return run
 
 
 def is_contaminated():
-    return F.expr(f"_found.n_hit > 0 and {SHARE} * _found.n_hit >= _found.n_words")
+    return F.expr(f"found.n_hit > 0 and {SHARE} * found.n_hit >= found.n_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    return find_contamination(docs, benchmark).where(~is_contaminated()).drop("_found")
+    return find_contamination(docs, benchmark).where(~is_contaminated()).select("row.*")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans; one row per document."""
-    some = docs.select("doc_id", "text")
-    return find_contamination(some, benchmark).select(
-        "doc_id",
-        "_found.n_words",
-        "_found.n_hit",
-        F.size("_found.item_ids").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "_found.item_ids"), 256).alias("items_sha256"),
+    return find_contamination(docs.select("doc_id", "text"), benchmark).select(
+        "row.doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "found.item_ids"), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
-        "_found.spans",
+        "found.spans",
     )

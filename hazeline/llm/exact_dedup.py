@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import land
+from hazeline.llm.common import land, whole_row
 
 #: Digests in one bucket, and so in one filter.
 BUCKET = 50_000
@@ -102,10 +102,10 @@ class FuseFilter:
         return cls(seed, segment, count, np.frombuffer(data, FINGERPRINT, offset=24))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, is_new) -> DataFrame:
     """doc_id, whether it arrives, text_sha256 and a 64-bit key of it."""
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    return docs.select("doc_id", F.col("_new").alias("new"), digest.alias("text_sha256")).withColumn(
+    return docs.select("doc_id", F.coalesce(is_new, F.lit(True)).alias("new"), digest.alias("text_sha256")).withColumn(
         "key", F.xxhash64("text_sha256")
     )
 
@@ -149,7 +149,7 @@ def screen(arriving: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 def find_copies(docs: DataFrame, is_new) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; ``is_new`` tells the arriving rows."""
-    rows = land(digests(docs.withColumn("_new", F.coalesce(is_new, F.lit(True)))), "digests")
+    rows = land(digests(docs, is_new), "digests")
     snapshot = land(groups(rows.where("not new")), "snapshot")
     arriving = groups(rows.where("new"))
     buckets = max(1, -(-snapshot.count() // BUCKET))
@@ -199,13 +199,14 @@ def newer_half(docs: DataFrame):
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each text."""
-    kept = find_copies(docs, newer_half(docs)).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    kept = find_copies(docs, newer_half(docs)).where("kept").select("doc_id", "text_sha256").distinct()
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    once = Window.partitionBy("_id", "_sha").orderBy("_id")
+    rows = docs.select(whole_row(docs), "doc_id", sha.alias("text_sha256"))
+    once = Window.partitionBy("l.doc_id", "l.text_sha256").orderBy("l.doc_id")
     return (
-        docs.withColumn("_own", sha)
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-        .withColumn("_n", F.row_number().over(once))
-        .where("_n = 1")
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        rows.alias("l")
+        .join(kept.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.text_sha256 = r.text_sha256"))
+        .withColumn("n", F.row_number().over(once))
+        .where("n = 1")
+        .select("row.*")
     )

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import SPACE_BYTES, Chunk, chunks, hash_runs, land, mix, utf8
+from hazeline.llm.common import SPACE_BYTES, Chunk, chunks, hash_runs, land, mix, utf8, whole_row
 from hazeline.llm.components import components
 
 K = 5
@@ -358,5 +358,6 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without those that are linked to one of a smaller id, directly or by others."""
-    found = similar(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    found = similar(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
+    rows = docs.select(whole_row(docs), "doc_id")
+    return rows.alias("l").join(found.alias("r"), F.expr("l.doc_id <=> r.doc_id"), "left_semi").select("row.*")

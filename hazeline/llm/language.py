@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hazeline.llm.common import utf8
+from hazeline.llm.common import utf8, whole_row
 
 SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_BYTES = 96, 6_000, 24_000
 BLOCK = 512
@@ -194,35 +195,29 @@ def learn(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_lang_pred``, ``_score``; no shuffle. Only the text is looked at."""
-    columns = docs.columns
+    """(row, lang_pred, score) of each row of ``docs``; no shuffle. Only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.tables, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(*shared.value)
         for batch in batches:
-            found = fitted.predict(batch.column("_utf8").to_pylist())
+            found = fitted.predict(batch.column("utf8").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in columns],
-                    pa.array([x for x, _ in found], pa.string()),
-                    pa.array([x for _, x in found], pa.float64()),
-                ],
-                names=[*columns, "_lang_pred", "_score"],
+                [batch.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                names=["row", "lang_pred", "score"],
             )
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("_utf8", utf8()).mapInArrow(run, f"{schema}, _lang_pred string, _score double")
+    rows = docs.select(whole_row(docs), utf8().alias("utf8"))
+    added = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], *added]))
 
 
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     found = identify(docs.select("doc_id", "text"), learn(docs))
-    return found.select(
-        "doc_id", held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score")
-    )
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those in no language."""
-    return identify(docs, learn(docs)).where(F.col("_lang_pred") != UNKNOWN).drop("_lang_pred", "_score")
+    return identify(docs, learn(docs)).where(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -62,7 +62,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE + 4096)
+        size = 1 << n.bit_length()  # functions travel by value, so what the driver needs should stay small
         for k in (_ODD, pow(_ODD, -1, 1 << 64)):
             factors = np.full(size, k, np.uint64)
             factors[0] = 1

@@ -74,12 +74,15 @@ def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
 
 
 def table(symbols: bytes) -> np.ndarray:
-    """next * 2 + (1 where a phrase ends before the letter), by state * SYMBOLS + letter; next is premultiplied."""
+    """next * 2 + (1 where a phrase ends before the letter), by state * SYMBOLS + letter; next is premultiplied.
+
+    The last state follows a letter that the sample lacks, which is a phrase of its own.
+    """
     step = suffix_automaton(symbols)
-    root = np.zeros(SYMBOLS, np.int64)
+    anew = np.full(SYMBOLS, len(step), np.int64)
     for c, to in step[0].items():
-        root[c] = to
-    out = np.tile((root * SYMBOLS << 1) | 1, (len(step), 1))
+        anew[c] = to
+    out = np.tile((anew * SYMBOLS << 1) | 1, (len(step) + 1, 1))
     for state, steps in enumerate(step):
         if steps:
             out[state, list(steps)] = np.array(list(steps.values()), np.int64) * SYMBOLS << 1

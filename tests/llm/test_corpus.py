@@ -53,6 +53,7 @@ def rows():
     texts += [texts[0]] * 15 + [texts[70]] * 3
     texts += ["", None, " ", "one", "One", "a b c d", "A  b\tc d", "a b c d e", "!!! 123", "x" * 30000, "a\n\n b  c", " ".join(prose(9000))]
     texts += ["Released under the MIT License. all rights reserved, CC-BY cc by", "+1 (988) 555-2485 a.b@c.de 4111 1111 1111 1111 1.2.3.4"]
+    texts[61] = texts[61].title()
     out = list(enumerate(texts))
     return out + [out[3], out[75]]  # repeated rows
 

@@ -28,7 +28,8 @@ WINDOW = 13
 PART_CHARS = 4_000_000
 #: A document is contaminated from this share of its words on: one in SHARE.
 SHARE = 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text as it stands.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 RESULT = "struct<n_words: bigint, n_hit: bigint, item_ids: array<string>, spans: array<struct<start: int, end: int>>, hit: array<bigint>>"
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 

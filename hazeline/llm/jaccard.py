@@ -330,7 +330,7 @@ def viable_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     viable = classes.join(shared.withColumnRenamed("d1", "node"), "node").where(F.col("shared") >= need)
     texts = named.select(F.col("doc_id").cast("long").alias("first_id"), utf8().alias("_utf8"))
     once = Window.partitionBy("first_id", "node", F.xxhash64("_utf8")).orderBy("first_id")
-    chosen = texts.join(viable.select("first_id", "node"), "first_id").withColumn("_n", F.row_number().over(once))
+    chosen = texts.join(viable.select("first_id", "node").hint("merge"), "first_id").withColumn("_n", F.row_number().over(once))
     return land(sets_of(chosen.where("_n = 1").select("node", "_utf8")), "sets")
 
 
@@ -360,4 +360,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without those that are linked to one of a smaller id, directly or by others."""
     found = similar(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     rows = docs.select(whole_row(docs), "doc_id")
-    return rows.alias("l").join(found.alias("r"), F.expr("l.doc_id <=> r.doc_id"), "left_semi").select("row.*")
+    return rows.alias("l").join(found.hint("merge").alias("r"), F.expr("l.doc_id <=> r.doc_id"), "left_semi").select("row.*")

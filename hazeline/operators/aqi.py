@@ -31,12 +31,13 @@ def subindex_columns(df: DataFrame) -> list[str]:
 
 
 def add_subindices(chunked: Chunked) -> DataFrame:
-    """Add a sub-index column for every pollutant the chunked table has."""
+    """Add a sub-index column for every pollutant the chunked table has; guards the cadence."""
     df = chunked.df
     pollutants = present(df, SUBINDEX_ORDER)
     if not pollutants:
         raise ValueError("no pollutant column with an AQI table")
     averaged = [p for p in pollutants if p in AVERAGING_HOURS]
+    chunked = chunked.guarded()
     summed = chunked.with_sums(averaged, CONCENTRATION_UNITS)
     means = {
         f"_mean_{p}": F.expr(
@@ -54,16 +55,11 @@ def add_subindices(chunked: Chunked) -> DataFrame:
         units["_value_ozone_1h"] = to_epa_units("ozone", "ozone")
         tables["_index_8h"] = ("_value_ozone", "ozone_8h")
         tables["_index_1h"] = ("_value_ozone_1h", "ozone_1h")
-    # The cadence guard rides on one index, inside the same window.
-    ok = "_cadence_ok"
-    df = summed.df.withColumns({**means, ok: chunked.checked("true")}).withColumns(units)
+    df = summed.df.withColumns(means).withColumns(units)
     df = with_subindices(df, tables)
     if "ozone" in pollutants:
         df = df.withColumn(subindex_name("ozone"), F.greatest("_index_8h", "_index_1h"))
-    first = subindex_name(pollutants[0])
-    return df.withColumn(first, F.when(F.col(ok), F.col(first))).drop(
-        *means, *units, *map(sums_name, averaged), "_index_8h", "_index_1h", ok
-    )
+    return df.drop(*means, *units, *map(sums_name, averaged), "_index_8h", "_index_1h")
 
 
 def add_hourly_aqi(chunked: Chunked) -> DataFrame:

@@ -45,4 +45,4 @@ def seasonal_persistence_forecast(
             out[prediction("seasonal_persistence", name)] = value
         return c.df.withColumns(out)
 
-    return cut(df, grid, back=SEASONAL_REACH, keys=keys).then(columns).result()
+    return cut(df, grid, back=SEASONAL_REACH, keys=keys).guarded().then(columns).result()

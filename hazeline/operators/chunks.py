@@ -21,6 +21,7 @@ from hazeline.schema import DATE, KEYS, TIME
 
 CHUNK = "_chunk"
 OWN = "_own"
+_JOINED, _OK = "_joined", "_ok"
 
 
 @dataclass(frozen=True)
@@ -159,6 +160,13 @@ class Chunked:
             f"ELSE {value} END"
         )
 
+    def guarded(self) -> Chunked:
+        """Fails on a duplicate or a skipped step inside a chunk.
+
+        The check decides which rows pass, so no choice of columns prunes it.
+        """
+        return replace(self, df=self.df.withColumn(_OK, self.checked("true")).where(_OK).drop(_OK))
+
     def own_rows(self) -> DataFrame:
         return self.df.where(OWN).drop(OWN)
 
@@ -166,20 +174,51 @@ class Chunked:
         return self.own_rows().drop(CHUNK)
 
 
+def _edges(df: DataFrame, grid: Grid, keys) -> DataFrame:
+    """One row per chunk; reading ``_joined`` fails where a chunk doesn't follow the one before it.
+
+    Rows inside a chunk see their neighbours, but a gap longer than the halo that
+    meets a chunk edge shows only between the chunks' first and last steps.
+    """
+    now, step = grid.column, "1" if grid.step == "day" else "INTERVAL 1 HOUR"
+    order = Window.partitionBy(*keys).orderBy(CHUNK)
+    return (
+        df.groupBy(*keys, grid.chunk().alias(CHUNK))
+        .agg(F.min(now).alias("_first"), F.max(now).alias("_last"))
+        .withColumn("_before", F.lag("_last").over(order))
+        .select(
+            *keys,
+            CHUNK,
+            F.expr(
+                f"CASE WHEN _before + {step} <> _first "
+                f"THEN raise_error('series lacks a complete {grid.step} cadence') ELSE true END"
+            ).alias(_JOINED),
+        )
+    )
+
+
 def cut(
     df: DataFrame, grid: Grid, back: int = 0, ahead: int = 0, keys: tuple[str, ...] = KEYS
 ) -> Chunked:
-    """Cut ``df`` into chunks with halos of ``back`` earlier and ``ahead`` later steps."""
-    own = grid.chunk()
-    if back == 0 and ahead == 0:
-        return Chunked(df.withColumns({CHUNK: own, OWN: F.lit(True)}), grid, tuple(keys))
+    """Cut ``df`` into chunks with halos of ``back`` earlier and ``ahead`` later steps.
+
+    A series whose chunks don't join up fails the job; :meth:`Chunked.guarded`
+    does the same for rows inside a chunk. The small table of edges is joined on
+    the partitioning the windows need.
+    """
     # A row serves every chunk whose halo reaches it: nearly always just its own.
     home = f"{OWN}_chunk"
-    spread = df.withColumn(home, own).withColumn(
-        CHUNK, F.explode(F.sequence(grid.chunk(-ahead), grid.chunk(back)))
-    )
+    spread = df.withColumn(home, grid.chunk())
+    if back == 0 and ahead == 0:
+        spread = spread.withColumn(CHUNK, F.col(home))
+    else:
+        spread = spread.withColumn(
+            CHUNK, F.explode(F.sequence(grid.chunk(-ahead), grid.chunk(back)))
+        )
+    edges = _edges(df, grid, keys).hint("shuffle_hash")
+    joined = spread.join(edges, [*keys, CHUNK], "left").where(F.coalesce(F.col(_JOINED), F.lit(True)))
     return Chunked(
-        spread.withColumn(OWN, F.col(CHUNK) == F.col(home)).drop(home), grid, tuple(keys)
+        joined.withColumn(OWN, F.col(CHUNK) == F.col(home)).drop(home, _JOINED), grid, tuple(keys)
     )
 
 

@@ -38,8 +38,15 @@ DAILY_LABEL_REACH = max(DAILY_HORIZONS)
 AQI_UNITS = 1e3
 
 
-def with_aqi_sums(chunked: Chunked, aqi: str = HOURLY_AQI) -> Chunked:
-    return chunked.with_sums([aqi], AQI_UNITS, squares=True)
+def with_aqi_sums(chunked: Chunked) -> Chunked:
+    """Running sums of the hourly AQI; a value with more than three decimals fails the job."""
+    units = F.col(HOURLY_AQI) * AQI_UNITS
+    exact = fail_when(
+        F.abs(units - F.rint(units)) > 1e-6, "an AQI has more than three decimals", F.col(HOURLY_AQI)
+    )
+    return chunked.then(lambda c: c.df.withColumn(HOURLY_AQI, exact)).with_sums(
+        [HOURLY_AQI], AQI_UNITS, squares=True
+    )
 
 
 def hourly_lag_roll_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str, Column]:
@@ -52,11 +59,15 @@ def hourly_lag_roll_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str
 
 
 def hourly_target_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str, Column]:
-    """Needs the running sums of :func:`with_aqi_sums`."""
+    """The hourly AQI needs the running sums of :func:`with_aqi_sums`; other columns may hold any numbers."""
+
+    def block(start: int, end: int) -> Column:
+        if aqi == HOURLY_AQI:
+            return F.expr(chunked.summed_mean(aqi, start, end, AQI_UNITS))
+        return chunked.mean(aqi, start, end)
+
     return {
-        name: chunked.lead(aqi, start)
-        if start == end
-        else F.expr(chunked.summed_mean(aqi, start, end, AQI_UNITS))
+        name: chunked.lead(aqi, start) if start == end else block(start, end)
         for name, _, _, start, end in OUTPUTS
     }
 
@@ -79,7 +90,7 @@ def daily_target_columns(chunked: Chunked, horizons=DAILY_HORIZONS) -> dict[str,
 
 def add_hourly_lag_roll(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
     """AQI lags of 1 and 24 hours, rolling mean and sample deviation over 6 and 24."""
-    chunked = with_aqi_sums(cut(df, grid, back=HOURLY_LAG_REACH, keys=keys))
+    chunked = with_aqi_sums(cut(df, grid, back=HOURLY_LAG_REACH, keys=keys).guarded())
     added = chunked.then(lambda c: c.df.withColumns(hourly_lag_roll_columns(c)))
     return added.result().drop(sums_name(HOURLY_AQI))
 
@@ -92,14 +103,14 @@ def hourly_targets(
     A block mean with any missing hour is null.
     """
     chunked = cut(df.select(*keys, grid.column, aqi), grid, back=1, ahead=LABEL_REACH, keys=keys)
-    guarded = chunked.then(lambda c: c.df.withColumn(aqi, c.checked(aqi)))
-    summed = with_aqi_sums(guarded, aqi)
+    guarded = chunked.guarded()
+    summed = with_aqi_sums(guarded) if aqi == HOURLY_AQI else guarded
     labelled = summed.then(lambda c: c.df.withColumns(hourly_target_columns(c, aqi)))
     return labelled.result().select(*keys, grid.column, *TARGET_COLUMNS)
 
 
 def add_daily_lag_roll(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> DataFrame:
-    chunked = cut(df, grid, back=DAILY_REACH, keys=keys)
+    chunked = cut(df, grid, back=DAILY_REACH, keys=keys).guarded()
     return chunked.then(lambda c: c.df.withColumns(daily_lag_roll_columns(c))).result()
 
 
@@ -108,7 +119,7 @@ def daily_targets(
 ) -> DataFrame:
     chunked = cut(
         df.select(*keys, grid.column, DAILY_AQI), grid, ahead=max(horizons), keys=keys
-    )
+    ).guarded()
     return chunked.then(lambda c: c.df.withColumns(daily_target_columns(c, horizons))).result()
 
 
@@ -168,8 +179,7 @@ def daily_training_frame(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> D
     measures = present(df, BASE_COLUMNS)
     keep = df.select(*keys, grid.column, DAILY_AQI, *measures)
     chunked = cut(keep, grid, back=DAILY_REACH, ahead=DAILY_LABEL_REACH, keys=keys)
-    guarded = chunked.then(lambda c: c.df.withColumn(DAILY_AQI, c.checked(DAILY_AQI)))
-    windows = guarded.then(
+    windows = chunked.guarded().then(
         lambda c: c.df.withColumns(daily_lag_roll_columns(c) | daily_target_columns(c))
     )
     columns = [

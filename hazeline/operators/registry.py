@@ -6,6 +6,8 @@ next version of the name, and the highest version is its champion.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from hazeline.sources.files import read_if_present
 
 REGISTRY_SCHEMA = (
     "name string, model string, version bigint, promoted boolean, reason string, "
-    "metrics map<string,double>, params map<string,string>, registered_at string"
+    "metrics map<string,double>, params map<string,string>, registered_at string, run string"
 )
 # Registered names and the metric that decides.
 HOURLY_MODEL = "aqi-hourly"
@@ -76,14 +78,7 @@ def should_promote(
     )
     ours, theirs = (F.try_element_at(m, F.lit(metric_key)) for m in ("metrics", "_held"))
     gap = (F.col("_ours") - F.col("_theirs")) / F.col("_theirs") * 100
-    better = F.format_string(
-        "New model RMSE %.2f < champion %.2f (%.1f%% better)",
-        "_ours", "_theirs", -gap,
-    )
-    worse = F.format_string(
-        "New model RMSE %.2f >= champion %.2f (%.1f%% worse); keeping champion.",
-        "_ours", "_theirs", gap,
-    )
+    compared = F.format_string("%.2f against %.2f of the champion (%+.1f%%)", "_ours", "_theirs", gap)
     unknown = F.col("_ours").isNull() | F.col("_theirs").isNull()
     return (
         new.join(held, "name", "left")
@@ -91,24 +86,33 @@ def should_promote(
         .withColumn("promoted", unknown | (F.col("_ours") < F.col("_theirs")))
         .withColumn(
             "reason",
-            F.when(F.col("_held").isNull(), "No current champion; promoting new model.")
-            .when(unknown, "Missing metric in champion or new model; promoting.")
-            .when(F.col("promoted"), better)
-            .otherwise(worse),
+            F.when(F.col("_held").isNull(), "first of its name")
+            .when(unknown, F.lit(f"{metric_key} unknown on one side"))
+            .otherwise(compared),
         )
         .drop("_ours", "_theirs", "_held", "_version")
     )
 
 
 def register_model(
-    spark: SparkSession, root: str, new: DataFrame, registered_at: str, gate: bool = True
+    spark: SparkSession,
+    root: str,
+    new: DataFrame,
+    registered_at: str,
+    gate: bool = True,
+    run: str | None = None,
 ) -> DataFrame:
-    """Append ``new`` (name, model, metrics, params) and return the rows written.
+    """Append ``new`` (name, model, metrics, params) and return the rows of this run.
 
     With ``gate`` a row gets a version only when it beats the champion; without
-    it every row does.
+    it every row does. A ``run`` that is registered already is returned as it is,
+    so a retried job adds nothing.
     """
+    run = run or uuid.uuid4().hex
     registry = read_registry(spark, root)
+    own = registry.where(F.col("run") == run)
+    if not own.isEmpty():
+        return own
     decided = should_promote(new, registry) if gate else new.withColumns(
         {"promoted": F.lit(True), "reason": F.lit("registered without a gate")}
     )
@@ -124,6 +128,22 @@ def register_model(
         "metrics",
         "params",
         F.lit(registered_at).alias("registered_at"),
+        F.lit(run).alias("run"),
     )
     rows.write.mode("append").parquet(f"{root}/registry")
-    return read_registry(spark, root).where(F.col("registered_at") == registered_at)
+    return read_registry(spark, root).where(F.col("run") == run)
+
+
+def store_coefficients(root: str, fits: DataFrame, registered: DataFrame, run: str) -> None:
+    """Keep the coefficients of the promoted rows of a run; ``fits`` has their ``name``.
+
+    A run's folder is written anew when the run is repeated.
+    """
+    versions = registered.where("promoted").select("name", "version")
+    fits.join(versions, "name").write.mode("overwrite").parquet(f"{root}/registry_fits/run={run}")
+
+
+def champion_coefficients(spark: SparkSession, root: str) -> DataFrame:
+    """Coefficients of every name's champion, whatever was trained or rejected since."""
+    held = champions(read_registry(spark, root)).select("name", "version", "run")
+    return spark.read.parquet(f"{root}/registry_fits").join(held, ["name", "version", "run"])

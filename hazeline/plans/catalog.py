@@ -506,14 +506,14 @@ def aqi_category_counts(spark, sf_dir):
     sql.statement(
         f"SELECT series_id, {sql.category('aqi_hourly_rolling')} AS aqi_category, count(*) AS n "
         "FROM (SELECT * FROM haqi QUALIFY row_number() OVER "
-        "(PARTITION BY series_id ORDER BY time DESC) <= 240) "
+        "(PARTITION BY series_id ORDER BY time DESC) <= 2160) "
         "WHERE aqi_hourly_rolling IS NOT NULL GROUP BY 1, 2"
     ),
 )
 def recent_category_counts(spark, sf_dir):
-    """The report's tail, at ten days since the derived series span thirty."""
+    """The report's tail of ninety days."""
     hourly = aqi.with_hourly_aqi(data.hourly_master(spark, sf_dir))
-    return summary.aqi_category_counts(hourly, HOURLY_AQI, last=240)
+    return summary.aqi_category_counts(hourly, HOURLY_AQI, last=2160)
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,9 +183,18 @@ def train_daily_job(
 
 
 def register_hourly_job(
-    spark: SparkSession, root: str, results: dict[str, DataFrame], registered_at: str
+    spark: SparkSession,
+    root: str,
+    results: dict[str, DataFrame],
+    registered_at: str,
+    run: str | None = None,
 ) -> DataFrame:
-    """Register the model chosen for the hourly points of each series, behind the champion gate."""
+    """Register the model chosen for the hourly points of each series, behind the champion gate.
+
+    The coefficients of promoted versions are kept with them.
+    """
+    run = run or uuid.uuid4().hex
+    name = F.concat_ws("/", F.lit(registry.HOURLY_MODEL), *KEYS)
     pooled = results["scores"].where(F.col("output") == "all")
     metrics = registry.flatten_metrics(pooled, list(ALL_SQL))
     chosen = results["selected"].where(F.col("group") == "hourly_points").select(*KEYS, "model")
@@ -194,7 +205,7 @@ def register_hourly_job(
         metrics.join(chosen, [*KEYS, "model"])
         .join(sizes, list(KEYS))
         .select(
-            F.concat_ws("/", F.lit(registry.HOURLY_MODEL), *KEYS).alias("name"),
+            name.alias("name"),
             "model",
             "metrics",
             F.create_map(
@@ -205,7 +216,10 @@ def register_hourly_job(
             ).alias("params"),
         )
     )
-    return registry.register_model(spark, root, new, registered_at)
+    registered = registry.register_model(spark, root, new, registered_at, run=run)
+    fits = results["fits"].where("fit = 'holdout'").drop("fit").withColumn("name", name)
+    registry.store_coefficients(root, fits, registered, run)
+    return registered
 
 
 def register_daily_job(
@@ -251,13 +265,12 @@ def forecast_latest(
 def forecast_job(
     spark: SparkSession, root: str, reference: DataFrame, as_of, fresh: DataFrame | None = None
 ) -> DataFrame:
-    """Forecast documents of all series with a champion, written below ``root``."""
+    """Forecast documents of all series with a champion, written below ``root``.
+
+    The champion's own coefficients forecast; a rejected challenger changes nothing.
+    """
     hourly = store.get_hourly_raw(spark, root)
-    fits = spark.read.parquet(f"{root}/results/ridge_fits").where("fit = 'holdout'").drop("fit")
-    held = registry.champions(registry.read_registry(spark, root)).select(
-        F.substring_index("name", "/", -1).alias(KEYS[0])
-    )
-    models = fits.join(held, list(KEYS), "left_semi")
+    models = registry.champion_coefficients(spark, root).drop("name", "version", "run")
     forecast = _table(forecast_latest(hourly, models, as_of, fresh), root, "forecast")
     current = current_aqi(latest_window(hourly, as_of, fresh=fresh))
     documents = products.forecast_document(forecast, current, reference, as_of, registry.HOURLY_MODEL)

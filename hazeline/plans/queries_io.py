@@ -188,8 +188,8 @@ PULL_END = "2024-01-30"
         f"""
 WITH w AS (
   SELECT 'u' || user_id AS series_id,
-         CAST(max(ts) FILTER (event_type = 'click') AS DATE) AS air,
-         CAST(max(ts) FILTER (event_type = 'view') AS DATE) AS weather,
+         CAST(max(ts) FILTER (event_type IN ('click', 'signup')) AS DATE) AS air,
+         CAST(max(ts) FILTER (event_type IN ('view', 'purchase')) AS DATE) AS weather,
          CAST(max(ts) FILTER (event_type = 'error') AS DATE) AS trend
   FROM events GROUP BY 1),
 b AS (
@@ -209,10 +209,10 @@ FROM p WHERE restart OR NOT (air > DATE '{PULL_END}' AND weather > DATE '{PULL_E
     ),
 )
 def incremental_range(spark, sf_dir):
-    """Clicks stand for landed air, views for weather and errors for trend data."""
+    """Clicks and signups stand for landed air, views and purchases for weather, errors for trend data."""
     product = F.expr(
-        "CASE event_type WHEN 'click' THEN 'air' WHEN 'view' THEN 'weather' "
-        "WHEN 'error' THEN 'trend' END"
+        "CASE WHEN event_type IN ('click', 'signup') THEN 'air' "
+        "WHEN event_type IN ('view', 'purchase') THEN 'weather' WHEN event_type = 'error' THEN 'trend' END"
     )
     marks = (
         data.table(spark, sf_dir, "events")

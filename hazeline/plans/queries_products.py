@@ -242,11 +242,7 @@ def challengers(spark, sf_dir) -> DataFrame:
     sql.statement(
         f"""
 SELECT 'aqi-hourly/' || s.series_id AS name, '{MODEL}' AS model, s.rmse < p.rmse AS promoted,
-       CASE WHEN s.rmse < p.rmse
-            THEN printf('New model RMSE %.2f < champion %.2f (%.1f%% better)', s.rmse, p.rmse,
-                        (p.rmse - s.rmse) / p.rmse * 100)
-            ELSE printf('New model RMSE %.2f >= champion %.2f (%.1f%% worse); keeping champion.',
-                        s.rmse, p.rmse, (s.rmse - p.rmse) / p.rmse * 100) END AS reason
+       printf('%.2f against %.2f of the champion (%+.1f%%)', s.rmse, p.rmse, (s.rmse - p.rmse) / p.rmse * 100) AS reason
 FROM rolling s JOIN rolling p ON p.series_id = s.series_id AND p."group" = s."group"
 WHERE s.model = '{MODEL}' AND p.model = 'persistence' AND s."group" = 'hourly_points'"""
     ),

@@ -40,10 +40,14 @@ def read_responses(spark: SparkSession, path: str, block: str, variables, keys=K
 
 
 def _zipped(raw: DataFrame, block: str, variables, keys) -> DataFrame:
-    """Unfold the parallel arrays; a response without times fails the job."""
+    """Unfold the parallel arrays; a response without times, or with arrays of other lengths, fails the job."""
+    unequal = "".join(
+        f"WHEN size({block}.{v}) <> size({block}.time) THEN raise_error('{block} {v} and times differ in number') "
+        for v in variables
+    )
     times = (
         f"CASE WHEN {block}.time IS NULL "
-        f"THEN raise_error('response lacks {block} times') ELSE {block}.time END AS time"
+        f"THEN raise_error('response lacks {block} times') {unequal}ELSE {block}.time END AS time"
     )
     arrays = [times, *[f"coalesce({block}.{v}, array()) AS {v}" for v in variables]]
     columns = ", ".join(["time", *variables])

@@ -8,10 +8,12 @@ leaves readers with the state before it.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazeline.functions.common import present
 from hazeline.operators.features import daily_training_frame, hourly_training_frame
@@ -29,11 +31,13 @@ from hazeline.schema import (
 from hazeline.sources.files import read_if_present
 
 SCHEMA_VERSION = 1
+# Between a batch's name and the attempt that wrote it.
+ATTEMPT = "~"
 TABLES = ("hourly_raw", "hourly_observations", "hourly_features", "daily_features")
 META_SCHEMA = (
     "table_name string, schema_version int, feature_columns array<string>, "
     "target_columns array<string>, n_rows bigint, source_file string, source_sha256 string, "
-    "created_at timestamp_ntz, batches array<string>, revision bigint"
+    "created_at timestamp_ntz, batches array<string>, revision bigint, row_schema string"
 )
 
 
@@ -66,12 +70,13 @@ def write_feature_table(
 ) -> None:
     """Write one batch, partitioned by year, and record it.
 
-    A given ``batch`` name makes a retried append idempotent.
+    A given ``batch`` name makes a retried append idempotent: the retry writes a
+    folder of its own and takes the first one's place when it is complete.
     """
     spark = df.sparkSession
     known = _current(spark, root, table)
     batch = batch or uuid.uuid4().hex
-    folder = f"{root}/{table}/{batch}"
+    folder = f"{batch}{ATTEMPT}{uuid.uuid4().hex}"
     time = time_column(df)
     # Rebalancing sizes the files and splits a year that outgrows one task.
     (
@@ -80,14 +85,21 @@ def write_feature_table(
         .sortWithinPartitions("year", *present(df, KEYS), time)
         .write.mode("overwrite")
         .partitionBy("year")
-        .parquet(folder)
+        .parquet(f"{root}/{table}/batch={folder}")
     )
-    old = [] if replace or known is None else [b for b in known["batches"] if b != batch]
-    batches = [*old, batch]
-    n_rows = _rows(spark, root, table, batches).count()
+    held = [] if replace or known is None else list(known["batches"])
+    old = [b for b in held if b.split(ATTEMPT)[0] != batch]
+    fields = {f.name: f for f in df.schema}
+    if old:
+        fields = {f.name: f for f in _schema(known)} | fields
+    row_schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields.values()]).json()
+    # Earlier batches were counted when they came; only a repeated one changes them.
+    counted = [folder] if old == held else [*old, folder]
+    n_rows = _rows(spark, root, table, counted, row_schema).count()
+    n_rows += known["n_rows"] if old and old == held else 0
     row = (
         table, SCHEMA_VERSION, list(features), list(targets), n_rows, source, source_sha256,
-        batches, (known["revision"] if known else 0) + 1,
+        [*old, folder], (known["revision"] if known else 0) + 1, row_schema,
     )
     shape = META_SCHEMA.replace("created_at timestamp_ntz, ", "")
     meta = spark.createDataFrame([row], shape).withColumn(
@@ -96,13 +108,25 @@ def write_feature_table(
     meta.coalesce(1).write.mode("append").parquet(f"{root}/meta")
 
 
-def _rows(spark: SparkSession, root: str, table: str, batches) -> DataFrame:
-    folders = [f"{root}/{table}/{b}" for b in batches]
-    frames = [spark.read.parquet(f) for f in folders]
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame, allowMissingColumns=True)
-    return rows
+def _schema(known) -> T.StructType:
+    return T.StructType.fromJson(json.loads(known["row_schema"]))
+
+
+def _rows(spark: SparkSession, root: str, table: str, folders, row_schema: str) -> DataFrame:
+    """Rows of some batches and their year: one scan, however many there are; empty ones are fine."""
+    schema = T.StructType.fromJson(json.loads(row_schema)).add("year", T.IntegerType())
+    reader = spark.read.schema(schema).option("basePath", f"{root}/{table}")
+    return reader.parquet(*[f"{root}/{table}/batch={f}" for f in folders]).drop("batch")
+
+
+def read_batches(
+    spark: SparkSession, root: str, table: str, only: str | None = None, without: str | None = None
+) -> DataFrame | None:
+    """Rows of one named batch, or of all but one; None when there are no such batches."""
+    known = _current(spark, root, table)
+    names = [(b, b.split(ATTEMPT)[0]) for b in known["batches"]] if known else []
+    folders = [b for b, name in names if name != without and only in (None, name)]
+    return _rows(spark, root, table, folders, known["row_schema"]) if folders else None
 
 
 def read_feature_table(
@@ -112,7 +136,8 @@ def read_feature_table(
     known = _current(spark, root, table)
     if known is None:
         raise FileNotFoundError(f"feature store has no table {table!r}")
-    return time_slice(_rows(spark, root, table, known["batches"]), start, end).drop("year")
+    rows = _rows(spark, root, table, known["batches"], known["row_schema"])
+    return time_slice(rows, start, end).drop("year")
 
 
 def time_slice(df: DataFrame, start=None, end=None) -> DataFrame:

@@ -179,7 +179,7 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select("text_sha256", F.explode(F.array("new_id", "old_id")).alias("doc_id")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select("doc_id", text.alias("text")).join(
-        wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))
+        wanted.withColumnRenamed("doc_id", "wanted_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))
     )
     # Rows that share an id may hold other texts: only those with the wanted digest count.
     return (
@@ -205,7 +205,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     once = Window.partitionBy("l.doc_id", "l.text_sha256").orderBy("l.doc_id")
     return (
         rows.alias("l")
-        .join(kept.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.text_sha256 = r.text_sha256"))
+        .join(kept.hint("merge").alias("r"), F.expr("l.doc_id <=> r.doc_id and l.text_sha256 = r.text_sha256"))
         .withColumn("n", F.row_number().over(once))
         .where("n = 1")
         .select("row.*")

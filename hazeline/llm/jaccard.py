@@ -36,10 +36,14 @@ from hazeline.llm.common import SPACE_BYTES, Chunk, chunks, hash_runs, land, mix
 from hazeline.llm.components import components
 
 K = 5
-#: Shingles of one fragment, in memory at once.
-FRAGMENT = 2_500_000
-#: Pairs formed at a time within a fragment.
-PAIRS = 3_000_000
+#: Shingles of one fragment, in memory at once; and of a fragment of the screen, which needs less for each.
+FRAGMENT, SCREENED = 1_200_000, 4_000_000
+#: Fragments there are at least, for small inputs to be spread, too.
+LEAST = 16
+#: Pairs formed, and distinct pairs gathered, at a time within a fragment.
+PAIRS = 400_000
+#: Rounds of stars before what is left is counted pair by pair.
+STARS = 4
 #: Share of a set that the screen looks at beyond the plain prefix.
 EXTRA = 0.15
 SALT = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
@@ -141,32 +145,40 @@ def shared_prefix(docs: DataFrame, fragments: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(node, n, shingles) from (node, _utf8): the set of each node, where the text is the one meant."""
+    """(node, n, rank, shingles) from (node, rank, _utf8): the set of each node, where the text is the one meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_pylist()
+            nodes, ranks = batch.column("node").to_pylist(), batch.column("rank").to_pylist()
             for start, texts in chunks(batch, "_utf8"):
                 rows = [
-                    (node, len(s), s.tobytes())
-                    for node, s in zip(nodes[start:], shingle_sets(texts), strict=False)
+                    (node, len(s), rank, s.tobytes())
+                    for node, rank, s in zip(nodes[start:], ranks[start:], shingle_sets(texts), strict=False)
                     if digest(s)[0] == node  # rows that share an id may hold other texts
                 ]
                 if rows:
-                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["node", "n", "shingles"])
+                    columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["node", "n", "rank", "shingles"])
 
-    return docs.mapInArrow(run, "node long, n long, shingles binary")
+    return docs.mapInArrow(run, "node long, n long, rank long, shingles binary")
+
+
+def fragments_for(shingles: int, size: int) -> int:
+    return max(LEAST, -(-shingles // size))
+
+
+#: What goes along with a node into its fragments.
+INFO = ("node", "component", "rank", "n", "m")
 
 
 def by_fragment(sets: DataFrame, fragments: int) -> DataFrame:
-    """(part, nodes, components, place, shingles) from (node, component, shingles): parts of many sets in a row."""
+    """(part, info, place, shingles) from INFO and shingles: parts of many sets in a row."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 1000):
                 some = batch.slice(start, 1000)
-                node, comp = (some.column(c).to_numpy() for c in ("node", "component"))
+                info = np.stack([some.column(c).to_numpy() for c in INFO], axis=1)
                 each = [np.frombuffer(s.as_py(), np.uint64) for s in some.column("shingles")]
                 shingles = np.concatenate(each)
                 owner = np.repeat(np.arange(len(each)), [len(s) for s in each])
@@ -177,58 +189,65 @@ def by_fragment(sets: DataFrame, fragments: int) -> DataFrame:
                 for p in np.flatnonzero(np.diff(edges)):
                     at = order[edges[p] : edges[p + 1]]
                     who, place = np.unique(owner[at], return_inverse=True)
-                    rows.append(
-                        (int(p), node[who].tobytes(), comp[who].tobytes(), place.astype("<u4").tobytes(), shingles[at].tobytes())
-                    )
+                    rows.append((int(p), info[who].tobytes(), place.astype("<u4").tobytes(), shingles[at].tobytes()))
                 if rows:
                     part_, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(part_, pa.int32()), *[pa.array(x, pa.binary()) for x in rest]],
-                        names=["part", "nodes", "components", "place", "shingles"],
+                        names=["part", "info", "place", "shingles"],
                     )
 
-    return sets.select("node", "component", "shingles").mapInArrow(
-        spread, "part int, nodes binary, components binary, place binary, shingles binary"
-    )
+    return sets.select(*INFO, "shingles").mapInArrow(spread, "part int, info binary, place binary, shingles binary")
 
 
 class Buckets:
-    """A fragment's buckets with two or more nodes, ordered by shingle."""
+    """A fragment's buckets with nodes of two or more components, ordered by shingle.
+
+    ``info`` has a row of INFO for each node here, ``at`` the row of each entry.
+    """
 
     def __init__(self, table: pa.Table):
-        node, comp, shingle = [], [], []
-        for nodes, comps, place, some in zip(*[table.column(c) for c in ("nodes", "components", "place", "shingles")], strict=True):
-            place = np.frombuffer(place.as_py(), "<u4")
-            node.append(np.frombuffer(nodes.as_py(), np.int64)[place])
-            comp.append(np.frombuffer(comps.as_py(), np.int64)[place])
-            shingle.append(np.frombuffer(some.as_py(), np.uint64))
-        node, comp, shingle = np.concatenate(node), np.concatenate(comp), np.concatenate(shingle)
+        info, at, shingle, held = [], [], [], 0
+        for some, place, own in zip(*[table.column(c) for c in ("info", "place", "shingles")], strict=True):
+            info.append(np.frombuffer(some.as_py(), np.int64).reshape(-1, len(INFO)))
+            at.append(np.frombuffer(place.as_py(), "<u4").astype(np.int32) + held)
+            shingle.append(np.frombuffer(own.as_py(), np.uint64))
+            held += len(info[-1])
+        self.info, at, shingle = np.concatenate(info), np.concatenate(at), np.concatenate(shingle)
         order = np.argsort(shingle, kind="stable")
-        node, comp, shingle = node[order], comp[order], shingle[order]
+        at, shingle = at[order], shingle[order]
         starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         sizes = np.diff(np.append(starts, len(shingle)))
         # Buckets inside one component hold no link that is still looked for.
+        comp = self.info[at, 1]
         open_ = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        keep = np.repeat(open_, sizes)
-        self.node, self.comp, self.sizes = node[keep], comp[keep], sizes[open_]
+        self.at, self.sizes = at[np.repeat(open_, sizes)], sizes[open_]
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def leaders(self, turn: int) -> np.ndarray:
-        """Place of the leader of each entry's bucket: the first in an order that differs by turn."""
-        rank = mix(self.node.view(np.uint64) + np.uint64(turn + 1) * SALT[0])
-        order = np.lexsort((rank, np.repeat(np.arange(len(self.sizes)), self.sizes)))
-        return np.repeat(order[self.starts], self.sizes)
-
-
-def counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs with their number."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    code, n = np.unique(at[: len(a)] * np.int64(len(names)) + at[len(a) :], return_counts=True)
-    return names[code // max(1, len(names))], names[code % max(1, len(names))], n
-
-
-def result(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.Table:
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+        """Row of the leader of each entry's bucket: the smallest rank, by chance among equals and anew each turn."""
+        node, rank = self.info[:, 0], self.info[:, 2]
+        by_chance = mix(node.view(np.uint64) + np.uint64(turn + 1) * SALT[0])
+        first = np.empty(len(node), np.int32)
+        first[np.lexsort((by_chance, rank))] = np.arange(len(node))
+        least = np.minimum.reduceat(first[self.at], self.starts) if len(self.at) else first[:0]
+        back = np.argsort(first)
+        return np.repeat(back[least], self.sizes)
+
+
+def counted(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with their numbers summed (each counts once without ``n``)."""
+    if n is None:
+        return np.unique(code, return_counts=True)
+    code, at = np.unique(code, return_inverse=True)
+    return code, np.bincount(at, weights=n, minlength=len(code)).astype(np.int64)
+
+
+def result(found: Buckets, code: np.ndarray, n: np.ndarray) -> pa.Table:
+    node, size = found.info[:, 0], max(1, len(found.info))
+    return pa.table(
+        {"a": pa.array(node[code // size], pa.int64()), "b": pa.array(node[code % size], pa.int64()), "n": pa.array(n, pa.int64())}
+    )
 
 
 def count_stars(turn: int):
@@ -236,49 +255,68 @@ def count_stars(turn: int):
 
     def run(table: pa.Table) -> pa.Table:
         found = Buckets(table)
+        size = np.int64(max(1, len(found.info)))
         lead = found.leaders(turn)
-        other = found.comp != found.comp[lead]
-        a, b, n = counted(found.node[other], found.node[lead[other]])
+        comp = found.info[:, 1]
+        other = comp[found.at] != comp[lead]
+        code, n = counted(found.at[other] * size + lead[other])
         # Every entry of an open bucket meets another component there.
-        own, m = np.unique(found.node, return_counts=True)
-        return result(np.concatenate([a, own]), np.concatenate([b, own]), np.concatenate([n, m]))
+        own, m = counted(found.at * (size + 1))
+        return result(found, np.concatenate([code, own]), np.concatenate([n, m]))
 
     return run
 
 
 def count_pairs(table: pa.Table) -> pa.Table:
-    """Overlaps of all pairs in different components that meet in this fragment."""
+    """Overlaps of all pairs in different components that meet in this fragment and may be linked."""
     found = Buckets(table)
+    size = np.int64(max(1, len(found.info)))
+    _, comp, _, n, m = found.info.T
     bucket = np.repeat(np.arange(len(found.sizes)), found.sizes)
-    order = np.lexsort((found.comp, bucket))
-    node, comp = found.node[order], found.comp[order]
+    at = found.at[np.lexsort((comp[found.at], bucket))]
     # All but each bucket's largest component are paired with the whole bucket.
-    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (comp[1:] != comp[:-1])]) if len(node) else np.empty(0, bool)
+    new = np.ones(len(at), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (comp[at][1:] != comp[at][:-1])
     run = np.cumsum(new) - 1
-    run_size = np.bincount(run) if len(run) else np.empty(0, np.int64)
-    run_bucket = bucket[new]
-    largest = np.lexsort((-run_size, run_bucket))
-    first = np.concatenate([[True], run_bucket[largest][1:] != run_bucket[largest][:-1]]) if len(run_bucket) else new
-    minor = np.ones(len(run_size), bool)
+    run_size, run_bucket = np.bincount(run, minlength=0), bucket[new]
+    largest = np.lexsort((-run_size[: len(run_bucket)], run_bucket))
+    first = np.ones(len(run_bucket), bool)
+    first[1:] = run_bucket[largest][1:] != run_bucket[largest][:-1]
+    minor = np.ones(len(run_bucket), bool)
     minor[largest[first]] = False
-    entries = np.flatnonzero(minor[run])
+    entries = np.flatnonzero(minor[run]) if len(at) else np.empty(0, np.int64)
     weight = np.cumsum(found.sizes[bucket[entries]])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    at = 0
-    while at < len(entries):
-        end = max(at + 1, int(np.searchsorted(weight, (weight[at - 1] if at else 0) + PAIRS)))
-        some = entries[at:end]
-        n = found.sizes[bucket[some]]
-        x = np.repeat(some, n)
-        y = np.repeat(found.starts[bucket[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    code, total = np.empty(0, np.int64), np.empty(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    begin = held = 0
+    while begin < len(entries):
+        end = max(begin + 1, int(np.searchsorted(weight, (weight[begin - 1] if begin else 0) + PAIRS)))
+        some = entries[begin:end]
+        many = found.sizes[bucket[some]]
+        x = np.repeat(some, many)
+        y = np.repeat(found.starts[bucket[some]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        a, b = at[x], at[y]
         # A pair of two minor entries comes up twice; it counts once.
-        good = (comp[x] != comp[y]) & (~minor[run[y]] | (x < y))
-        a, b = node[x[good]], node[y[good]]
-        out.append(counted(np.minimum(a, b), np.maximum(a, b)))
-        at = end
-    if not out:
-        return result(*[np.empty(0, np.int64)] * 3)
-    return result(*[np.concatenate(c) for c in zip(*out, strict=True)])
+        good = (comp[a] != comp[b]) & (~minor[run[y]] | (x < y))
+        good &= 7 * np.minimum(m[a], m[b]) >= 3 * (n[a] + n[b])
+        a, b = a[good].astype(np.int64), b[good].astype(np.int64)
+        waiting.append(counted(np.minimum(a, b) * size + np.maximum(a, b)))
+        held += len(waiting[-1][0])
+        begin = end
+        if held > PAIRS or begin >= len(entries):
+            code, total = counted(
+                np.concatenate([code, *[c for c, _ in waiting]]), np.concatenate([total, *[k for _, k in waiting]])
+            )
+            waiting, held = [], 0
+    # What a pair may still share in all other fragments is bounded by what either of them has there.
+    a, b = code // size, code % size
+    elsewhere = m - np.bincount(found.at, minlength=len(m))
+    may = 7 * (total + np.minimum(elsewhere[a], elsewhere[b])) >= 3 * (n[a] + n[b])
+    code, total, a, b = code[may], total[may], a[may], b[may]
+    # One of the pair has to be named first in all fragments: the smaller node.
+    node = found.info[:, 0]
+    swap = node[a] > node[b] if len(code) else np.empty(0, bool)
+    return result(found, np.where(swap, b * size + a, code), total)
 
 
 def links(counts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -300,38 +338,44 @@ def relabel(state: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
-    """(node, component) from (node, n, shingles): exact components of the similarity graph."""
+    """(node, component) from (node, n, rank, shingles): exact components of the similarity graph."""
     sizes = sets.select("node", "n")
     state = land(sets.select("node", F.col("node").alias("component")), "components")
-    active = sets
-    for turn in (0, 1):
+    active = sets.withColumn("m", F.col("n"))
+    for turn in range(STARS + 1):
         n = active.agg(F.sum("n")).first()[0] or 0
-        fragments = max(1, -(-n // FRAGMENT))
-        blobs = by_fragment(active.join(state, "node"), fragments)
-        counts = land(blobs.groupBy("part").applyInArrow(count_stars(turn), "a long, b long, n long"), "counts")
+        # Pairs are best judged where as much of them as possible is in one place.
+        fragments = fragments_for(n, FRAGMENT) if turn < STARS else max(1, -(-n // FRAGMENT))
+        blobs = by_fragment(active.join(state, "node"), fragments).groupBy("part")
+        if turn == STARS:
+            counts = blobs.applyInArrow(count_pairs, "a long, b long, n long")
+            return relabel(state, links(counts, sizes))
+        counts = land(blobs.applyInArrow(count_stars(turn), "a long, b long, n long"), "counts")
         outside = counts.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("m"))
-        active = land(active.join(outside, "node").where("4 * m >= 3 * n").select("node", "n", "shingles"), "active")
+        left = active.drop("m").join(outside, "node").where("4 * m >= 3 * n")
+        active = land(left.select("node", "n", "rank", "m", "shingles"), "active")
+        state = relabel(state, links(counts, sizes))
         if active.isEmpty():
             return state
-        state = relabel(state, links(counts, sizes))
-    n = active.agg(F.sum("n")).first()[0] or 0
-    blobs = by_fragment(active.join(state, "node"), max(1, -(-n // FRAGMENT)))
-    counts = blobs.groupBy("part").applyInArrow(count_pairs, "a long, b long, n long")
-    return relabel(state, links(counts, sizes))
+    return state
 
 
 def viable_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the classes that pass the screen."""
+    """(node, n, rank, shingles) of the classes that pass the screen; rank falls with what a prefix shares."""
     named = docs.where("doc_id is not null")
     n = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    shared = shared_prefix(named, max(1, -(-n // (2 * FRAGMENT))))
+    # About 0.4 of the shingles belong to prefixes.
+    shared = shared_prefix(named, fragments_for(2 * n // 5, SCREENED))
     # A partner may have a quarter fewer shingles, and so a shorter prefix.
     need = F.greatest(F.lit(1), F.floor(F.lit(0.74 * EXTRA) * F.col("n_shingles")))
     viable = classes.join(shared.withColumnRenamed("d1", "node"), "node").where(F.col("shared") >= need)
     texts = named.select(F.col("doc_id").cast("long").alias("first_id"), utf8().alias("_utf8"))
     once = Window.partitionBy("first_id", "node", F.xxhash64("_utf8")).orderBy("first_id")
-    chosen = texts.join(viable.select("first_id", "node").hint("merge"), "first_id").withColumn("_n", F.row_number().over(once))
-    return land(sets_of(chosen.where("_n = 1").select("node", "_utf8")), "sets")
+    prefix = F.expr("n_shingles - (3 * n_shingles + 3) div 4") + F.greatest(F.lit(1), F.floor(F.lit(EXTRA) * F.col("n_shingles")))
+    rank = -F.floor(64 * F.col("shared") / prefix)
+    viable = viable.select("first_id", "node", rank.cast("long").alias("rank"))
+    chosen = texts.join(viable.hint("merge"), "first_id").withColumn("_n", F.row_number().over(once))
+    return land(sets_of(chosen.where("_n = 1").select("node", "rank", "_utf8")), "sets")
 
 
 def similar(docs: DataFrame) -> DataFrame:

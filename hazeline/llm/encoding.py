@@ -12,12 +12,12 @@ import re
 import struct
 from collections.abc import Iterator
 
-#: Parts remembered per worker process before it starts anew, and the longest one worth remembering.
-REMEMBERED, LONGEST = 400_000, 64
-#: Texts whose new parts go to the library together.
-SLICE = 256
+#: Words remembered per worker process before it starts anew, and the longest one worth remembering.
+REMEMBERED, LONGEST = 450_000, 64
+#: Texts whose new words are looked up together.
+SLICE = 384
 #: A space or none, Latin letters, ASCII punctuation without the apostrophe or none: pre-tokens under either tokenizer.
-WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: A space that white space neither precedes nor follows always begins a pre-token.
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
@@ -25,6 +25,10 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
+#: Punctuation that is a pre-token of its own behind a letter or digit.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -40,60 +44,81 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.spaced = spaced
-        self.known: dict[str, bytes] = {}  # strings as they stand
-        self.after: dict[str, bytes | None] = {}  # words after a lone space; None: white space at an end
+        self.signs: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}  # words after a lone space; None: white space at an end
 
     def library(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def pre_token(self, word: str) -> bytes:
+    def pre_token(self, text: str) -> bytes:
         """Ids of what certainly is one pre-token: one space at most, then letters or marks alone."""
-        if (ids := self.known.get(word)) is None:
-            self.known[word] = ids = packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LETTERS))])
+        text = text.replace(" ", "\u0120") if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return packed([t.id for t in self.model.tokenize(text)])
+
+    def word(self, letters: str) -> bytes:
+        """Ids of letters after a space, remembered."""
+        if (ids := self.known.get(letters)) is None:
+            self.known[letters] = ids = self.pre_token(" " + letters if self.spaced else letters.lower())
+        return ids
+
+    def marks(self, text: str) -> bytes:
+        if (ids := self.signs.get(text)) is None:
+            ids = self.pre_token(text)
+            if len(text) <= 4:  # few of those
+                self.signs[text] = ids
         return ids
 
     def learn(self, text: str) -> bytes:
         """Ids of a string that begins and ends at borders of pre-tokens."""
         if m := WORD.fullmatch(text):
-            letters, marks = m[1], m[2]
-            ids = self.pre_token(letters if self.spaced else letters.lower())
-            return ids + self.pre_token(marks) if marks else ids
+            space, letters, marks = m.groups()
+            ids = self.word(letters) if space or not self.spaced else self.pre_token(letters)
+            return ids + self.marks(marks) if marks else ids
         if self.spaced and "\n" in text:
             lines = text.split("\n")
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in (lines[0].lstrip(" "), *lines[1:])):
-                return self.pre_token("\n").join(map(self.learn, lines))
+                return self.marks("\n").join(map(self.learn, lines))
         return self.library(text)
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         for i in range(0, len(texts), SLICE):
             some = texts[i : i + SLICE]
-            if len(self.known) > REMEMBERED or len(self.after) > REMEMBERED:
-                self.known, self.after = {}, {}
+            if len(self.known) > REMEMBERED:
+                self.known = {}
             words = [x.split(" ") if self.spaced else x.replace("\n", " ").split(" ") for x in some]
-            long = self._meet(set().union(*words).difference(self.after))
+            brief = self._meet(set().union(*words).difference(self.known))
             yield from map(self._joined, some, words)
-            for x in long:
-                del self.after[x]
+            for x in brief:
+                del self.known[x]
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
     def _meet(self, words: set[str]) -> list[str]:
-        """Learn words that follow a lone space; return those not worth remembering."""
-        if self.spaced:
-            odd = {x for x in words if not x or x[0].isspace() or x[-1].isspace()}
-            self.after.update((x, None if x in odd else self.learn(" " + x)) for x in words)
-        else:
-            self.after.update((x, self.learn(x)) for x in words)
-        return [x for x in words if len(x) > LONGEST]
+        """Learn words that follow a lone space; return those to be forgotten: all but plain ones."""
+        brief, known = [], self.known
+        for x in words:
+            stem = x.rstrip(MARKS)
+            if len(stem) < len(x) and stem and stem[-1].isalnum() and known.get(stem) is not None:
+                brief.append(x)
+                known[x] = known[stem] + self.marks(x[len(stem) :])
+            elif not x or self.spaced and (x[0].isspace() or x[-1].isspace()):
+                brief.append(x)
+                self.known[x] = None if self.spaced else b""
+            elif not x.isalpha() or len(x) > LONGEST:
+                brief.append(x)
+                self.known[x] = self.learn(" " + x if self.spaced else x)
+            elif x not in self.known:  # else met as a part of another
+                self.known[x] = self.learn(" " + x if self.spaced else x)
+        return brief
 
     def _joined(self, text: str, words: list[str]) -> bytes:
         first, rest = words[0], words[1:] if self.spaced else words
         if self.spaced and rest and (not first or first[-1].isspace()):
             return self._with_odd_space(text)
         try:
-            ids = b"".join(map(self.after.__getitem__, rest))
+            ids = b"".join(map(self.known.__getitem__, rest))
         except TypeError:
             return self._with_odd_space(text)
         return self.learn(first) + ids if self.spaced and first else ids
@@ -101,3 +126,17 @@ class Encoder:
     def _with_odd_space(self, text: str) -> bytes:
         first, *rest = LONE_SPACE.split(text)
         return b"".join(map(self.learn, [first, *[" " + x for x in rest]])) if text else b""
+
+
+def worker_encoder(path: str, spaced: bool) -> Encoder:
+    """This worker's encoder, kept over tasks with the words it knows.
+
+    It hangs on the library's module: functions travel by value, so this one's own globals are new in each task.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_encoders", {})
+    if (path, spaced) not in held:
+        held.clear()
+        held[path, spaced] = Encoder(path, spaced)
+    return held[path, spaced]

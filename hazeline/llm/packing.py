@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import land, utf8
-from hazeline.llm.encoding import Encoder
+from hazeline.llm.encoding import worker_encoder
 
 SIZE = 2048
 #: Pieces numbered by one task at a time.
@@ -34,7 +34,7 @@ def cut(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, size: int) -
     """One row per piece, without its ids."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(tokenizer, spaced), struct.pack("<I", end_id)
+        encoder, tail = worker_encoder(tokenizer, spaced), struct.pack("<I", end_id)
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             rows: list[tuple] = []

@@ -21,24 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import utf8
-from hazeline.llm.encoding import Encoder
-from hazeline.session import shared_folder
+from hazeline.llm.encoding import worker_encoder
 
 MAGIC = b"DAC1"
 CHUNK, BLOCK = 8, 512
 SHARD_TOKENS = 1 << 21
 SHARDS = pa.schema(
     [
-        ("part", pa.int32()), ("seq", pa.int32()), ("n_tokens", pa.int64()),
+        ("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("image", pa.binary()),
     ]
 )
-SHARDS_SQL = "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, image binary"
+SHARDS_SQL = "part int, seq int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, image binary"
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -114,24 +112,27 @@ class Image:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int) -> DataFrame:
-    """(doc_id, ids as 32-bit integers in a binary column, crc)."""
+    """(doc_id, width, ids, crc): ids as integers of width bytes, the narrower where they fit."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(tokenizer, spaced), struct.pack("<I", end_id)
+        encoder, tail = worker_encoder(tokenizer, spaced), struct.pack("<I", end_id)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                images, crcs = [], []
+                widths, codes, crcs = [], [], []
                 for ids in encoder.encode_all([x.decode() for x in some.column(1).to_pylist()]):
-                    crcs.append(zlib.crc32(ids + tail))
-                    images.append(encode_levels(np.frombuffer(ids + tail, "<u4")))
+                    ids += tail
+                    crcs.append(zlib.crc32(ids))
+                    wide = np.frombuffer(ids, "<u4")
+                    widths.append(2 if wide.max() < 1 << 16 else 4)
+                    codes.append(wide.astype("<u2").tobytes() if widths[-1] == 2 else ids)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(images, pa.binary()), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "image", "crc"],
+                    [some.column(0), pa.array(widths, pa.int32()), pa.array(codes, pa.binary()), pa.array(crcs, pa.int64())],
+                    names=["doc_id", "width", "codes", "crc"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(
-        encode, "doc_id long, image binary, crc long"
+        encode, "doc_id long, width int, codes binary, crc long"
     )
 
 
@@ -141,55 +142,51 @@ def write_tokens(
     """Write all documents' ids in ascending doc_id order; one pass over the texts, one range shuffle of codes."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, before = -1, 0, 0
         doc_ids, pieces, total = [], [], 0
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(pieces)
-            row = [[part], [seq], [len(ids)], [doc_ids], [[len(p) for p in pieces]], [encode_levels(ids)]]
+            row = [[part], [seq], [before], [len(ids)], [doc_ids], [[len(p) for p in pieces]], [encode_levels(ids)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(row, SHARDS, strict=True)], schema=SHARDS
             )
 
         for batch in batches:
-            for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                image = Image(data.as_py())
-                if pieces and total + len(image) > shard_tokens:
+            for own, doc_id, width, codes in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                ids = np.frombuffer(codes, f"<u{width}")
+                if pieces and (own != part or total + len(ids) > shard_tokens):
                     yield close()
-                    doc_ids, pieces, total, seq = [], [], 0, seq + 1
+                    before, seq = before + total, seq + 1
+                    doc_ids, pieces, total = [], [], 0
+                if own != part:
+                    part, seq, before = own, 0, 0
                 doc_ids.append(doc_id)
-                pieces.append(image.tokens(0, len(image)))
-                total += len(image)
+                pieces.append(ids)
+                total += len(ids)
         if pieces:
             yield close()
 
-    coded = encode_documents(docs, tokenizer, spaced, end_id)
-    # Coded documents land first: ranges are found by a sample, which would tokenize all texts again.
-    folder = shared_folder(docs.sparkSession, "codes")
-    coded.write.parquet(folder)
-    coded = docs.sparkSession.read.schema(coded.schema).parquet(folder)
-    ordered = coded.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    ordered.select("doc_id", "image").mapInArrow(shards, SHARDS_SQL).write.parquet(path)
+    # Range borders come from the ids alone, so texts are tokenized once, on the way to the range shuffle.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    part = F.size(F.filter(F.lit(sorted(set(borders))).cast("array<double>"), lambda b: b <= F.col("doc_id"))).cast("int")
+    coded = encode_documents(docs, tokenizer, spaced, end_id).withColumn("part", F.coalesce(part, F.lit(0)))
+    ordered = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "crc")
+    ordered.select("part", "doc_id", "width", "codes").mapInArrow(shards, SHARDS_SQL).write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards."""
     shards = spark.read.schema(SHARDS_SQL).parquet(path)
-    # One row per range partition: their number is fixed by the writer, not by the documents.
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    earlier = parts.alias("a").join(parts.alias("b"), F.expr("b.part < a.part"), "left")
-    base = earlier.groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    within = F.expr("coalesce(sum(n_tokens) over (partition by part order by seq rows between unbounded preceding and 1 preceding), 0)")
-    starts = (
-        shards.select("part", "seq", "n_tokens")
-        .select("part", "seq", within.alias("within"))
-        .join(base, "part")
-        .select("part", "seq", (F.col("base") + F.col("within")).alias("shard_start"))
-    )
+    # One row per range partition, and the writer sets their number: never more than a few thousand.
+    bases, total = {}, 0
+    for r in sorted(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):
+        bases[r["part"]], total = total, total + r["n"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, doc_ids, lengths, image in zip(*[batch.column(i) for i in range(4)], strict=True):
+            for part, before, doc_ids, lengths, image in zip(*[batch.column(i) for i in range(5)], strict=True):
                 image, lengths = Image(image.as_py()), np.array(lengths.as_py(), np.int64)
                 ends = np.cumsum(lengths)
                 crcs = [
@@ -197,13 +194,10 @@ def read_tokens(spark, path: str) -> DataFrame:
                     for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.values, pa.array(begin.as_py() + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
+                    [doc_ids.values, pa.array(bases[part.as_py()] + before.as_py() + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return (
-        shards.select("part", "seq", "doc_ids", "lengths", "image")
-        .join(starts, ["part", "seq"])
-        .select("shard_start", "doc_ids", "lengths", "image")
-        .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "doc_ids", "lengths", "image").mapInArrow(
+        read, "doc_id long, start long, n_tokens long, ids_crc32 long"
     )

@@ -375,6 +375,25 @@ def test_passages(docs, rows, empty, nobody):
     assert passages.find_passages(empty).count() == 0 and passages.find_passages(nobody).count() == 0
 
 
+def test_exact_passages_need_no_leader(spark):
+    """Copies are found also where the document of the smallest id is like both, but not near enough."""
+    rnd = random.Random(11)
+    found, want = set(), set()
+    rows = []
+    for k in range(30):
+        passage = [f"p{k}x{i}" for i in range(60)]
+        other = list(passage)
+        other[20], other[40] = f"q{k}", f"r{k}"
+        rows += [(3 * k, other), (3 * k + 1, passage), (3 * k + 2, passage)]
+        want |= {3 * k + 1, 3 * k + 2}
+    around = lambda: [f"a{rnd.random()}" for _ in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(around() + w + around())) for i, w in rows], "doc_id long, text string")
+    for r in passages.find_passages(docs).collect():
+        assert (r["first_word"], r["end_word"]) == (30, 90) and r["partner_id"] in want - {r["doc_id"]}
+        found.add(r["doc_id"])
+    assert found == want
+
+
 def test_sliding_minimum():
     values = np.random.default_rng(0).integers(0, 1000, 300).astype(np.uint64)
     for width in (1, 2, 3, 46, 64, 300):

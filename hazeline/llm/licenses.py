@@ -1,10 +1,11 @@
 """License scans by diagonal voting.
 
 All rolling hashes of ``K`` words of whole texts meet the positions of the same hashes in license templates in a
-Spark join. A match votes for its diagonal (word in the text minus word in the template); votes are counted per
-document, template and diagonal, diagonals at most ``DRIFT`` words apart are merged (words put in or left out shift
-a text against its template), and a merged span is verified by the template words its matches cover and by its own
-length. On top of that fixed phrases are found wherever their words stand consecutively.
+Spark join. A match votes for its diagonal (word in the text minus word in the template). Each diagonal is verified
+on its own, by the template words its matches cover. Words put in or left out shift a text against its template, so
+runs of matches on diagonals at most ``DRIFT`` words apart are chained, too, where both word and place go on; a chain
+is verified by its cover and by its own length. A notice that begins anew is another chain. On top of that fixed
+phrases are found wherever their words stand consecutively.
 
 Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case. Null or empty texts have no words, no
 labels and score 0. Rows that share id and text get one row each. An empty table gives none.
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.llm.common import WORD_BYTES, Chunk, chunks, hash_runs, hash_words, utf8
@@ -78,32 +79,71 @@ def grams(docs: DataFrame) -> DataFrame:
 
 def license_spans(docs: DataFrame) -> DataFrame:
     """Verified spans: doc_id, _row, template, first_word, end_word, coverage."""
-    votes = (
+    matches = (
         grams(docs)
         .join(F.broadcast(template_grams(docs.sparkSession)), "gram")
-        .groupBy("doc_id", "_row", "template", "size", (F.col("word") - F.col("place")).alias("diagonal"))
-        .agg(F.min("word").alias("first"), F.max("word").alias("last"), F.collect_set("place").alias("places"))
+        .groupBy("doc_id", "_row", "template", "size")
+        .agg(F.collect_set(F.struct("word", "place")).alias("at"))
     )
-    by_template = Window.partitionBy("doc_id", "_row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_template) > DRIFT, F.lit(True))
-    merged = (
-        votes.withColumn("_apart", apart)
-        .withColumn("span", F.sum(F.col("_apart").cast("int")).over(by_template))
-        .groupBy("doc_id", "_row", "template", "size", "span")
-        .agg(
-            F.min("first").alias("first_word"),
-            (F.max("last") + K).alias("end_word"),
-            F.flatten(F.collect_list("places")).alias("places"),
-        )
-    )
-    words = F.expr(f"size(array_distinct(flatten(transform(places, p -> sequence(p, p + {K - 1})))))")
-    return (
-        merged.withColumn("coverage", words / F.col("size"))
-        .where((F.col("coverage") >= COVERED) & ((F.col("end_word") - F.col("first_word")) * COVERED <= F.col("size")))
-        .select("doc_id", "_row", "template", "first_word", "end_word", "coverage")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, (size, at) in enumerate(zip(batch.column("size").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                rows += [(i, *span) for span in verified([(m["word"], m["place"]) for m in at], size)]
+            which, *columns = list(zip(*rows, strict=True)) or [()] * 4
+            which = pa.array(which, pa.int32())
+            kinds = [pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(which) for c in ("doc_id", "_row", "template")],
+                    *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ],
+                names=["doc_id", "_row", "template", "first_word", "end_word", "coverage"],
+            )
+
+    return matches.mapInArrow(
+        run, "doc_id long, _row long, template string, first_word int, end_word int, coverage double"
     )
 
 
+def verified(matches: list[tuple[int, int]], size: int) -> list[tuple[int, int, float]]:
+    """First word, end and coverage of diagonals and chains of (word, place) that hold enough of a template."""
+    diagonals: dict[int, list[tuple[int, int]]] = {}
+    for word, place in sorted(matches):
+        diagonals.setdefault(word - place, []).append((word, place))
+    spans = list(diagonals.values())
+    pieces: list[list[tuple[int, int]]] = []  # consecutive words of one diagonal
+    for some in spans:
+        for match in some:
+            if pieces and match == (pieces[-1][-1][0] + 1, pieces[-1][-1][1] + 1):
+                pieces[-1].append(match)
+            else:
+                pieces.append([match])
+    longest = size / COVERED
+    chains: list[list[tuple[int, int]]] = []
+    for piece in sorted(pieces):
+        word, place = piece[0]
+        chains = [c for c in chains if piece[0][0] + K - c[0][0] <= longest]  # the others are in spans
+        for chain in reversed(chains):
+            last, before = chain[-1]
+            if (
+                last < word and before < place and abs(word - place - last + before) <= DRIFT
+                and piece[-1][0] + K - chain[0][0] <= longest
+            ):
+                chain.extend(piece)
+                break
+        else:
+            chains.append(list(piece))
+            spans.append(chains[-1])
+    out = set()
+    for some in spans:
+        cover = len({p + i for _, p in some for i in range(K)}) / size
+        if cover >= COVERED and some[-1][0] + K - some[0][0] <= longest:
+            out.add((some[0][0], some[-1][0] + K, cover))
+    return sorted(out)
+
+
 def phrases(docs: DataFrame) -> DataFrame:
     """doc_id, _row, n_words, n_base, first_word, last_word, base (labels)."""
     needles = [(f" {p} ".encode(), name) for p, name in PHRASES.items()]

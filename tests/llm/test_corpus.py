@@ -200,6 +200,19 @@ def test_license_spans_survive_small_changes(spark):
     assert {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()} == {1: "mit", 2: ""}
 
 
+def test_repeated_licenses_keep_their_labels(spark):
+    notices = {k: licenses.TEMPLATES[k] for k in ("mit-short", "cc-by-nc", "cc-by-sa", "apache-short")}
+    changed = licenses.TEMPLATES["isc"].replace("this software", "all this software")
+    texts = [f"{v}. " * n for v in notices.values() for n in (1, 2, 5)] + [f"{changed}. " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(docs).collect()}
+    for i, k in enumerate(notices):
+        label = k.removesuffix("-short")
+        assert all(label in got[j][0].split(",") and got[j][1] == 1.0 for j in range(3 * i, 3 * i + 3))
+    assert got[12][0] == "isc"
+    assert licenses.license_spans(docs.where("doc_id = 2")).count() == 5
+
+
 def test_exact_dedup(docs, rows, empty, nobody):
     groups = collections.defaultdict(list)
     for i, t in rows:

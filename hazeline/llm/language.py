@@ -4,8 +4,9 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 the longest phrases the automaton contains (Ziv and Merhav); z phrases over n letters against a sample of m letters
 estimate the cross-entropy z * log2(m) / n, and the language with the fewest normalised phrases wins.
 
-Samples are bounded: ``SAMPLE_DOCS`` labelled documents a language, in order of a hash of their id, none longer than
-``SAMPLE_LONGEST`` characters, and whole ones up to ``SAMPLE_BYTES`` of normalised text. Automata are turned into
+Samples are bounded: ``SAMPLE_DOCS`` labelled documents a language, in order of a hash of their id, up to
+``SAMPLE_BYTES`` of normalised text. Documents of at most ``SAMPLE_LONGEST`` characters come first and are taken whole;
+of longer ones, which follow where a language hasn't enough others, so many characters are taken. Automata are turned into
 one transition table per language, in which a missing transition leads on from the root and marks a phrase end, so
 whole texts are parsed in blocks of ``BLOCK`` letters, thousands of blocks side by side, one gather per letter.
 
@@ -173,19 +174,20 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame) -> Model:
     """Fit on a bounded sample of the labelled documents that aren't held out."""
     size = F.length("text")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()).where(
-        (size > 0) & (size <= SAMPLE_LONGEST)
-    )
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()).where(size > 0)
+    by_hash = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
     chosen = (
-        rows.select("doc_id", F.col("lang").cast("string").alias("lang"))
+        rows.select("doc_id", F.col("lang").cast("string").alias("lang"), (size > SAMPLE_LONGEST).alias("long"))
         .withColumn("place", F.row_number().over(by_hash))
         .where(F.col("place") <= SAMPLE_DOCS)
         .collect()
     )  # SAMPLE_DOCS rows a language
     places = {r["doc_id"]: r["place"] for r in chosen}
     texts = (
-        rows.where(F.col("doc_id").isin(list(places))).select("doc_id", F.col("lang").cast("string").alias("lang"), utf8().alias("text")).collect()
+        rows.where(F.col("doc_id").isin(list(places)))
+        .select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_LONGEST).alias("text"))
+        .select("doc_id", "lang", utf8().alias("text"))
+        .collect()
         if places
         else []
     )
@@ -222,5 +224,8 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those in no language."""
-    return identify(docs, learn(docs)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """``docs`` without those in no language; without null or letterless texts alone where nothing was learned."""
+    model = learn(docs)
+    if not model.labels:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -446,6 +446,15 @@ def test_language(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in language.predictions(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_from_long_texts(spark, docs, rows):
+    long = {"aa": "abba cab " * 1000, "bb": "xyz zyx " * 1000}
+    data = [(i, long[lang], lang) for i, lang in enumerate(["aa", "bb"] * 8)]
+    data = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == ["aa", "bb"][r["doc_id"] % 2] for r in language.predictions(data).collect())
+    kept = language.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.count() == sum(any(c.isalpha() for c in t or "") for _, t in rows)
+
+
 def test_encoder_matches_the_library():
     from tokenizers import Tokenizer
 

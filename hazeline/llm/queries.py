@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazeline.llm import chat, decontaminate, exact_dedup, jaccard, language, licenses, packing, passages, pii, token_store
+from hazeline.llm import (
+    chat, decontaminate, exact_dedup, jaccard, language, licenses, merkle, packing, passages, pii, token_store,
+)
 from hazeline.llm.common import documents
 from hazeline.session import shared_folder
 
@@ -143,3 +145,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(documents(spark, sf_dir))
+
+
+def merkle_sql(levels: int = 9) -> str:
+    """Levels one by one; each is enough for eight times the rows of the one below it."""
+    steps = []
+
+    def climb(t: str, source: str) -> str:
+        """Nodes (g, p, c, h) of a level, c their number in the group, to their parents."""
+        steps.append(f"{t}_r AS MATERIALIZED (SELECT g, p // 8 AS p, any_value(c) AS c, string_agg(h, '' ORDER BY p) AS s FROM {source} GROUP BY g, p // 8)")
+        steps.append(f"{t} AS MATERIALIZED (SELECT g, p, (c + 7) // 8 AS c, CASE WHEN c = 1 THEN s ELSE sha256(s) END AS h FROM {t}_r)")
+        return t
+
+    def walk(name: str, source: str, bottom: str) -> None:
+        """Rows (g, p, proof, fold) up the levels above ``bottom``."""
+        last = source
+        for j in range(levels):
+            steps.append(
+                f"{name}{j} AS (SELECT k, w.g, w.p // 8 AS p, "
+                f"CASE WHEN c = 1 THEN proof ELSE proof || substr(s, 1, 64 * (w.p % 8)) || substr(s, 64 * (w.p % 8) + 65) END AS proof, "
+                f"CASE WHEN c = 1 THEN fold ELSE sha256(substr(s, 1, 64 * (w.p % 8)) || fold || substr(s, 64 * (w.p % 8) + 65)) END AS fold "
+                f"FROM {last} w JOIN {bottom}{j}_r r ON r.g IS NOT DISTINCT FROM w.g AND r.p = w.p // 8)"
+            )
+            last = f"{name}{j}"
+
+    field = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    fields = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = (
+        "xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        "lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+        "ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    )
+    steps.append(f"l0 AS (SELECT doc_id, lang, sha256({fields}) AS leaf, sha256({fields.replace('text', lower)}) AS low, {crc} % 3 = 0 AS hit FROM documents)")
+    steps.append(
+        "l AS MATERIALIZED (SELECT row_number() OVER () AS k, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, "
+        "count(*) OVER (PARTITION BY lang) AS c, leaf AS h, doc_id, CASE WHEN hit THEN low ELSE leaf END AS changed FROM l0)"
+    )
+    last = "l"
+    for j in range(levels):
+        last = climb(f"a{j}", last)
+    steps.append(f"sub AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS c, h, g AS lang FROM {last})")
+    top = "sub"
+    for j in range(levels):
+        top = climb(f"b{j}", top)
+    steps.append("w AS (SELECT k, g, p, '' AS proof, changed AS fold FROM l)")
+    walk("u", "w", "a")
+    steps.append(f"x AS (SELECT k, s.g, s.p, proof, fold FROM u{levels - 1} u JOIN sub s ON s.lang IS NOT DISTINCT FROM u.g)")
+    walk("v", "x", "b")
+    return f"""
+    WITH {", ".join(steps)}
+    SELECT doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(v.proof) AS proof_sha256, v.fold AS folded_root, v.fold = t.h AS verified
+    FROM l JOIN v{levels - 1} v USING (k) JOIN sub s ON s.lang IS NOT DISTINCT FROM l.g CROSS JOIN {top} t
+    """
+
+
+@query("op12_merkle", merkle_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(documents(spark, sf_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.llm import (
-    chat, decontaminate, exact_dedup, jaccard, language, licenses, merkle, packing, passages, pii, token_store,
+    chat, decontaminate, exact_dedup, jaccard, language, licenses, merkle, packing, passages, pii, token_store, whitening,
 )
 from hazeline.llm.common import documents
 from hazeline.session import shared_folder
@@ -203,3 +203,8 @@ def merkle_sql(levels: int = 9) -> str:
 @query("op12_merkle", merkle_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(documents(spark, sf_dir))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

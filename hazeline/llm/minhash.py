@@ -8,15 +8,17 @@ at most 29 symbols, which a pair of similarity 0.8 exceeds with probability 1.2e
 *Pigeonhole.* The symbols are cut into 15 chunks. 29 differences leave at least one chunk with at most one, so for each chunk
 all ways to leave out one symbol are enumerated: 64 keys a class, and every pair within the distance has a key in common.
 
-*Linking.* Pairs within a group of near copies are never formed. Of each key's classes a few leaders are chosen, the smallest
-by as many hash orders, by a sum Spark combines before the shuffle; each class is compared with the leaders of its keys, and
-with the nearest ones in full. Links make components. Keys whose classes still lie in several components are joined with
-themselves for classes in different ones, and pairs within the distance are compared in full, too; so no pair within the
-distance is left out whose link would unite two components. The cost of that last step grows with the square of a group only
-where its documents share much without being linked.
-
-A class can only have a candidate if enough of its symbols occur in other components; classes that fall short don't enter the
-last step. (Symbols of 16 bits stop telling classes apart once millions are left; then nothing is saved, and nothing lost.)
+*Linking.* Pairs within a group of near copies are never formed. Of each key's classes a few leaders are chosen, those that
+meet most other classes, by a sum Spark combines before the shuffle; each class is compared with the leaders it shares most
+keys with. Links make components. What is left are pairs in different components, and all of those within the distance that
+share a key are compared, but for classes that can't have a link any more: a link takes 4/9 of the two sizes as common
+shingles, so both classes need that many shingles that occur in other components, and sketches of 1,024 bits must be near
+enough. But for the errors of signature and sketch, no pair within the distance is left out
+whose link would unite two components. The cost of that last step grows with the square of a group only where its documents
+share nearly all they have without being linked.
+
+Sets are only made for classes of which 35 symbols or more occur in other classes; no other can have a candidate. (Symbols of
+16 bits stop telling classes apart once millions share keys; then nothing is saved, and nothing lost.)
 
 *Full sets.* Every link is decided by the sizes of the sets and of their intersection.
 
@@ -37,16 +39,20 @@ from pyspark.sql import functions as F
 
 from hazeline.llm.common import chunks, land, mix, utf8, whole_row
 from hazeline.llm.components import components
-from hazeline.llm.jaccard import digest, shingle_sets
+from hazeline.llm.jaccard import FRAGMENT, Buckets, by_fragment, counted, digest, fragments_for, shingle_sets
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 K, SIMILAR = 4, 80
 SYMBOLS, BITS = 64, 16
 #: Symbols a candidate's signatures may differ in, and the chunks that leave one of them with at most one difference.
 DISTANCE, CHUNKS = 29, 15
-#: Leaders of a key.
-LEADERS = 3
+#: Leaders of a key, and rounds of leaders before what is left is compared pair by pair.
+LEADERS, ROUNDS = 2, 2
 PLANES = [f"s{i}" for i in range(BITS)]
+#: Bits of the sketches that pairs of the last step are held against, and how many may differ, which
+#: 4.4e-7 of pairs with a similarity of 0.8 exceed.
+SKETCH, SKETCH_DISTANCE = 1024, 152
+WORDS = [f"k{i}" for i in range(SKETCH // 64)]
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,38 +148,67 @@ def open_values(entries: DataFrame, name: str, *more: Column) -> DataFrame:
 
 
 def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, d) of ``pairs`` (a, b) within the distance and alike enough in size."""
+    """Those of ``pairs`` (a, b) within the distance and alike enough in size."""
     info = nodes.select("node", "n", *PLANES)
     for side in "ab":
         renamed = info.select(F.col("node").alias(side), F.struct("n", *PLANES).alias(f"_{side}"))
         pairs = pairs.join(renamed.hint("merge"), side)
-    close = pairs.select("a", "b", F.col("_a.n").alias("na"), F.col("_b.n").alias("nb"), distance("_a", "_b").cast("int").alias("d"))
-    return close.where(f"d <= {DISTANCE} AND 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b", "d")
-
+    close = pairs.select("a", "b", F.col("_a.n").alias("na"), F.col("_b.n").alias("nb"), distance("_a", "_b").alias("d"))
+    return land(close.where(f"d <= {DISTANCE} AND 100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b"), "close")
 
-def near_leaders(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of nodes with leaders within the distance, and the entries (key, node) of keys with several nodes.
 
-    For each order a node keeps the nearest of its leaders; what that leaves undecided is for the last step.
-    """
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, met): the keys nodes share, and how many classes a node meets in all of its keys."""
     entries = spread(nodes, "key", keys_of)
-    leaders = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"].alias(f"l{i}") for i in range(LEADERS)]
-    keys = open_values(entries, "key", *leaders)
-    members = land(entries.join(keys.hint("merge"), "key"), "members")
-    each = F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("b")
-    pairs = land(close_pairs(members.select(F.col("node").alias("a"), each).where("a <> b").distinct(), nodes), "near")
-    return pairs, members.select("key", "node")
+    keys = open_values(entries, "key", F.count("*").alias("met"))
+    members = land(entries.join(keys.hint("merge"), "key").select("key", "node", "met"), "members")
+    return land(members.select("key", "node").join(members.groupBy("node").agg(F.sum("met").alias("met")), "node"), "shared")
 
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """The LEADERS nearest partners of each node."""
-    best = pairs.groupBy("a").agg(F.expr(f"slice(sort_array(collect_list(struct(d, b))), 1, {LEADERS})").alias("best"))
+def leader_votes(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, votes): in how many of its keys a node meets a leader of another component.
+
+    Leaders are the classes that meet most others, those in the middle of a group, and by hash among equals.
+    """
+    named = land(members.join(nodes.select("node", "component"), "node"), "named")
+    leaders = [
+        F.min(F.struct(-F.col("met"), F.xxhash64("node", F.lit(i)), "node", "component")).alias(f"l{i}") for i in range(LEADERS)
+    ]
+    keys = open_values(named, "key", *leaders)
+    each = F.explode(F.array_distinct(F.expr(f"transform(array({', '.join(f'l{i}' for i in range(LEADERS))}), l -> struct(l.node, l.component))")))
+    met = named.join(keys.hint("merge"), "key").select("node", "component", each.alias("l")).where("component <> l.component")
+    return land(met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("votes")), "votes")
+
+
+def nearest(votes: DataFrame) -> DataFrame:
+    """(a, b) of each node with the LEADERS leaders it shares most keys with."""
+    best = votes.groupBy("a").agg(F.expr(f"slice(sort_array(collect_list(struct(-votes, b))), 1, {LEADERS})").alias("best"))
     return best.select("a", F.explode("best.b").alias("b"))
 
 
-def sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, shingles) of all nodes in ``pairs``."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def viable(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(node) with so many symbols that occur in other classes, too, that it may have a candidate."""
+    some = members.select("node").distinct().join(nodes, "node")
+    places = spread(some, "place", lambda symbols: np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(BITS) | symbols.astype(np.uint64))
+    shared = places.join(open_values(places, "place"), "place").groupBy("node").count()
+    return land(shared.where(f"count >= {SYMBOLS - DISTANCE}").select("node"), "viable")
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """SKETCH bits of each set, one from each of as many least values; bits differ with probability (1 - J) / 2."""
+    bits = np.zeros((len(sets), SKETCH), np.uint8)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, starts = np.concatenate(sets), np.cumsum(sizes) - sizes
+    for i in range(SKETCH // 4):
+        with np.errstate(over="ignore"):
+            quarters = mix(values ^ np.uint64(i + 1) * _SEED).view(np.uint16)
+        for q in range(4):
+            bits[:, 4 * i + q] = np.minimum.reduceat(quarters[q::4], starts) & 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+def sets_for(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, shingles, sketch) of the nodes ``asked`` for."""
     asked = land(classes.join(asked, "node").select("node", "first_id"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,19 +216,35 @@ def sets_for(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
             nodes = batch.column("node").to_pylist()
             for start, texts in chunks(batch, "_utf8"):
                 found = [
-                    (node, s.tobytes())
+                    (node, s)
                     for node, s in zip(nodes[start:], shingle_sets(texts, K), strict=False)
                     if digest(s)[0] == node  # rows that share an id may hold other texts
                 ]
                 if found:
                     a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], names=["node", "shingles"])
+                    columns = [pa.array(a, pa.int64()), pa.array([x.tobytes() for x in b], pa.binary()), *[pa.array(c) for c in sketches(b).T]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles", *WORDS])
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("first_id"), utf8().alias("_utf8"))
-    found = texts.join(asked, "first_id").select("node", "_utf8").mapInArrow(run, "node long, shingles binary")
+    kinds = ", ".join(f"{w} long" for w in WORDS)
+    found = texts.join(asked, "first_id").select("node", "_utf8").mapInArrow(run, f"node long, shingles binary, {kinds}")
     return land(found.dropDuplicates(["node"]), "sets")
 
 
+def shared_outside(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, m): how many shingles of a node occur in other components."""
+    named = land(sets.join(nodes.select("node", "n", "component"), "node"), "named")
+    total = named.agg(F.sum("n")).first()[0] or 0
+    blobs = by_fragment(named.withColumns({"rank": F.lit(0).cast("long"), "m": F.col("n")}), fragments_for(total, FRAGMENT))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = Buckets(table)
+        which, times = counted(found.at)
+        return pa.table({"node": pa.array(found.info[which, 0], pa.int64()), "m": pa.array(times, pa.int64())})
+
+    return blobs.groupBy("part").applyInArrow(run, "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
+
+
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose full sets are alike enough."""
 
@@ -221,19 +272,19 @@ def relabel(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return land(joined.select(*nodes.columns), "nodes")
 
 
-def remaining_pairs(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """All pairs (a, b) within the distance that share a key and lie in different components."""
-    named = land(members.join(nodes.select("node", "component"), "node"), "named")
-    keys = open_values(named, "key")
-    left = named.join(keys.hint("merge"), "key")
-    # Symbols that occur in other components, too: a candidate agrees in all but DISTANCE of them.
-    some = left.select("node").distinct().join(nodes, "node")
-    places = spread(some, "place", lambda symbols: np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(BITS) | symbols.astype(np.uint64))
-    shared = places.join(open_values(places, "place"), "place").groupBy("node").count().where(f"count >= {SYMBOLS - DISTANCE}")
-    left = left.join(shared.select("node"), "node").select("key", "node")
-    left = land(left.join(nodes.select("node", "component", "n", *PLANES), "node"), "left")
-    alike = (distance("a", "b") <= DISTANCE) & F.expr(f"100 * least(a.n, b.n) >= {SIMILAR} * greatest(a.n, b.n)")
-    both = left.alias("a").join(left.alias("b").hint("merge"), F.expr("a.key = b.key AND a.component < b.component") & alike)
+def remaining_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) in different components that share a key, have near sketches and may be linked."""
+    # A partner has at least SIMILAR hundredths of a node's shingles.
+    may = nodes.join(shared_outside(nodes, sets), "node").where(f"100 * m >= {SIMILAR} * n")
+    may = land(may, "may")
+    sketched = may.select("node", "component", "n", "m").join(sets.select("node", *WORDS).hint("merge"), "node")
+    entries = spread(may, "key", keys_of)
+    left = entries.join(open_values(entries, "key").hint("merge"), "key").select("key", "node")
+    left = land(left.join(sketched.hint("merge"), "node"), "left")
+    enough = F.expr(f"{100 + SIMILAR} * least(a.m, b.m) >= {SIMILAR} * (a.n + b.n)")
+    differ = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in WORDS)
+    alike = F.expr(f"a.key = b.key AND a.component < b.component AND {differ} <= {SKETCH_DISTANCE}") & enough
+    both = left.alias("a").join(left.alias("b").hint("merge"), alike)
     return land(both.selectExpr("a.node AS a", "b.node AS b").distinct(), "pairs")
 
 
@@ -247,11 +298,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
         "classes",
     )
     nodes = classes.select("node", "n", F.col("node").alias("component"), *PLANES)
-    pairs, members = near_leaders(nodes)
-    pairs = land(nearest(pairs), "nearest")
-    nodes = relabel(nodes, links(pairs, sets_for(docs, classes, pairs)))
-    pairs = remaining_pairs(nodes, members)
-    nodes = relabel(nodes, links(pairs, sets_for(docs, classes, pairs)))
+    members = shared_keys(nodes)
+    sets = sets_for(docs, classes, viable(nodes, members))
+    for _ in range(ROUNDS):
+        nodes = relabel(nodes, links(close_pairs(nearest(leader_votes(members, nodes)), nodes), sets))
+    nodes = relabel(nodes, links(remaining_pairs(nodes, sets), sets))
     named = classes.select("node", "d2", "n", "first_id").join(nodes.select("node", "component"), "node")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("node", "d2", "n", "component_id")

@@ -21,7 +21,7 @@ from hazeline.schema import DATE, KEYS, TIME
 
 CHUNK = "_chunk"
 OWN = "_own"
-_JOINED, _OK = "_joined", "_ok"
+_OK = "_ok"
 
 
 @dataclass(frozen=True)
@@ -174,27 +174,17 @@ class Chunked:
         return self.own_rows().drop(CHUNK)
 
 
-def _edges(df: DataFrame, grid: Grid, keys) -> DataFrame:
-    """One row per chunk; reading ``_joined`` fails where a chunk doesn't follow the one before it.
+def require_joined(df: DataFrame, grid: Grid, keys) -> None:
+    """Refuse a series that has fewer rows than steps between its first and its last.
 
-    Rows inside a chunk see their neighbours, but a gap longer than the halo that
-    meets a chunk edge shows only between the chunks' first and last steps.
+    Windows see a gap or a duplicate inside their chunk, but not a gap longer than the halo that meets a chunk
+    edge. Without duplicates, the number of rows shows any gap: one pass over the keys and the time, combined
+    before the shuffle to a row per series, whatever the number of chunks.
     """
-    now, step = grid.column, "1" if grid.step == "day" else "INTERVAL 1 HOUR"
-    order = Window.partitionBy(*keys).orderBy(CHUNK)
-    return (
-        df.groupBy(*keys, grid.chunk().alias(CHUNK))
-        .agg(F.min(now).alias("_first"), F.max(now).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(order))
-        .select(
-            *keys,
-            CHUNK,
-            F.expr(
-                f"CASE WHEN _before + {step} <> _first "
-                f"THEN raise_error('series lacks a complete {grid.step} cadence') ELSE true END"
-            ).alias(_JOINED),
-        )
-    )
+    steps = grid.steps()
+    spans = df.groupBy(*keys).agg(F.min(steps).alias("_a"), F.max(steps).alias("_b"), F.count(steps).alias("_rows"))
+    if not spans.where("_rows <= _b - _a").isEmpty():
+        raise ValueError(f"series lacks a complete {grid.step} cadence")
 
 
 def cut(
@@ -202,10 +192,11 @@ def cut(
 ) -> Chunked:
     """Cut ``df`` into chunks with halos of ``back`` earlier and ``ahead`` later steps.
 
-    A series whose chunks don't join up fails the job; :meth:`Chunked.guarded`
-    does the same for rows inside a chunk. The small table of edges is joined on
-    the partitioning the windows need.
+    A series with a gap is refused at once, as chunks can't tell one at their edge
+    from the end of the series; :meth:`Chunked.guarded` fails the job for whatever
+    is wrong inside a chunk. The windows need one exchange and no join.
     """
+    require_joined(df, grid, keys)
     # A row serves every chunk whose halo reaches it: nearly always just its own.
     home = f"{OWN}_chunk"
     spread = df.withColumn(home, grid.chunk())
@@ -215,11 +206,7 @@ def cut(
         spread = spread.withColumn(
             CHUNK, F.explode(F.sequence(grid.chunk(-ahead), grid.chunk(back)))
         )
-    edges = _edges(df, grid, keys).hint("shuffle_hash")
-    joined = spread.join(edges, [*keys, CHUNK], "left").where(F.coalesce(F.col(_JOINED), F.lit(True)))
-    return Chunked(
-        joined.withColumn(OWN, F.col(CHUNK) == F.col(home)).drop(home, _JOINED), grid, tuple(keys)
-    )
+    return Chunked(spread.withColumn(OWN, F.col(CHUNK) == F.col(home)).drop(home), grid, tuple(keys))
 
 
 def with_positions(

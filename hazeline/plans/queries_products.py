@@ -105,6 +105,52 @@ def compare_with_reference(spark, sf_dir):
     )
 
 
+def readings(spark, sf_dir) -> DataFrame:
+    """Single events as readings of their series, at the minute they came."""
+    events = data.table(spark, sf_dir, "events")
+    return events.select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("series_id"), F.col("ts").alias(TIME), data.cents("value").cast("double").alias("aqi")
+    )
+
+
+READINGS = "SELECT 'u' || user_id AS series_id, ts AS time, CAST(round(value * 100) AS BIGINT) * 1e0 AS aqi FROM events"
+
+
+@query(
+    "compare_with_readings",
+    sql.shaped(
+        f"""
+SELECT f.series_id, f.forecast_origin, f.output, replace(f.kind, '_', ' ') AS kind, f.value AS ours,
+       avg(r.aqi) AS reference, f.value - avg(r.aqi) AS diff_ref
+FROM forecast f LEFT JOIN ({READINGS}) r
+  ON r.series_id = f.series_id AND r.time BETWEEN f.start_time AND f.end_time
+GROUP BY f.series_id, f.forecast_origin, f.output, f.kind, f.start_time, f.end_time, f.value""",
+        floats=["ours", "reference", "diff_ref"],
+    ),
+)
+def compare_with_readings(spark, sf_dir):
+    """Outputs next to readings at any minute."""
+    return products.compare_with_reference(seasonal_forecast(spark, sf_dir), readings(spark, sf_dir)).drop("window")
+
+
+@query(
+    "trim_readings",
+    sql.shaped(
+        f"""
+SELECT r.series_id, l.forecast_origin, count(*) AS readings, max(r.time) AS last_time, sum(r.aqi) AS total
+FROM ({READINGS}) r JOIN latest l ON l.series_id = r.series_id
+WHERE r.time >= l.forecast_origin AND r.time < l.forecast_origin + INTERVAL 72 HOUR GROUP BY 1, 2""",
+        floats=["total"],
+        whole=["readings"],
+    ),
+)
+def trim_readings(spark, sf_dir):
+    found = products.trim_reference(readings(spark, sf_dir), seasonal_forecast(spark, sf_dir))
+    return found.groupBy(*KEYS, products.ORIGIN).agg(
+        F.count("*").alias("readings"), F.max(TIME).alias("last_time"), F.sum("aqi").alias("total")
+    )
+
+
 @query(
     "hazard_alerts",
     sql.shaped(

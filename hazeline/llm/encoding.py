@@ -12,8 +12,9 @@ import re
 import struct
 from collections.abc import Iterator
 
-#: Words remembered per worker process before it starts anew, and the longest one worth remembering.
-REMEMBERED, LONGEST = 450_000, 64
+#: Words remembered per worker process, and the longest one worth remembering. Where there are more, those met first stay,
+#: as frequent words are met early, and room is made for a fifth.
+REMEMBERED, LONGEST = 700_000, 64
 #: Texts whose new words are looked up together.
 SLICE = 384
 #: A space or none, Latin letters, ASCII punctuation without the apostrophe or none: pre-tokens under either tokenizer.
@@ -29,14 +30,13 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class Encoder:
-    """``spaced``: a space belongs to the pre-token after it (byte-level BPE); else white space is dropped."""
+    """``spaced``: a space belongs to the pre-token after it (byte-level BPE); else white space is dropped.
 
-    def __init__(self, path: str, spaced: bool):
+    ``narrow`` gives ids in ``width`` = 2 bytes where the vocabulary allows it; otherwise they have 4.
+    """
+
+    def __init__(self, path: str, spaced: bool, narrow: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,16 +44,20 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.spaced = spaced
+        self.width = 2 if narrow and max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
         self.signs: dict[str, bytes] = {}
         self.known: dict[str, bytes | None] = {}  # words after a lone space; None: white space at an end
 
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
     def library(self, text: str) -> bytes:
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pre_token(self, text: str) -> bytes:
         """Ids of what certainly is one pre-token: one space at most, then letters or marks alone."""
         text = text.replace(" ", "\u0120") if text.isascii() and "\n" not in text else text.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return packed([t.id for t in self.model.tokenize(text)])
+        return self.packed([t.id for t in self.model.tokenize(text)])
 
     def word(self, letters: str) -> bytes:
         """Ids of letters after a space, remembered."""
@@ -81,11 +85,12 @@ class Encoder:
         return self.library(text)
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
         for i in range(0, len(texts), SLICE):
             some = texts[i : i + SLICE]
             if len(self.known) > REMEMBERED:
-                self.known = {}
+                for x in list(self.known)[REMEMBERED * 4 // 5 :]:
+                    del self.known[x]
             words = [x.split(" ") if self.spaced else x.replace("\n", " ").split(" ") for x in some]
             brief = self._meet(set().union(*words).difference(self.known))
             yield from map(self._joined, some, words)
@@ -100,7 +105,8 @@ class Encoder:
         brief, known = [], self.known
         for x in words:
             stem = x.rstrip(MARKS)
-            if len(stem) < len(x) and stem and stem[-1].isalnum() and known.get(stem) is not None:
+            # Lower case may end in a mark of its own, which the library joins with those that follow.
+            if len(stem) < len(x) and (stem if self.spaced else stem.lower())[-1:].isalnum() and known.get(stem) is not None:
                 brief.append(x)
                 known[x] = known[stem] + self.marks(x[len(stem) :])
             elif not x or self.spaced and (x[0].isspace() or x[-1].isspace()):
@@ -128,7 +134,7 @@ class Encoder:
         return b"".join(map(self.learn, [first, *[" " + x for x in rest]])) if text else b""
 
 
-def worker_encoder(path: str, spaced: bool) -> Encoder:
+def worker_encoder(path: str, spaced: bool, narrow: bool = False) -> Encoder:
     """This worker's encoder, kept over tasks with the words it knows.
 
     It hangs on the library's module: functions travel by value, so this one's own globals are new in each task.
@@ -136,7 +142,7 @@ def worker_encoder(path: str, spaced: bool) -> Encoder:
     import tokenizers
 
     held = tokenizers.__dict__.setdefault("_encoders", {})
-    if (path, spaced) not in held:
+    if (path, spaced, narrow) not in held:
         held.clear()
-        held[path, spaced] = Encoder(path, spaced)
-    return held[path, spaced]
+        held[path, spaced, narrow] = Encoder(path, spaced, narrow)
+    return held[path, spaced, narrow]

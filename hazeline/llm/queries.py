@@ -33,6 +33,28 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def near_copies_sql(words: int, similar: int, kept: str = "") -> str:
+    """Sets of shingles, pairs that share some, and everything reachable by links."""
+    return f"""
+    WITH RECURSIVE w AS MATERIALIZED (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), s AS MATERIALIZED (
+      SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + {words - 1}], ' ')) AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM w WHERE len(w) > 0)
+    ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n, hash(list(s ORDER BY s)) AS c FROM s GROUP BY doc_id
+    ), one AS MATERIALIZED (SELECT c, n, min(doc_id) AS doc_id FROM n GROUP BY c, n
+    ), o AS MATERIALIZED (SELECT s.* FROM s JOIN one USING (doc_id)
+    ), e AS MATERIALIZED (
+      SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM o x JOIN o y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+      JOIN one p ON p.doc_id = a JOIN one q ON q.doc_id = b WHERE 100 * k >= {similar} * (p.n + q.n - k)
+    ), r AS (SELECT doc_id AS a, doc_id AS b FROM one UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+    ), m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id{kept}
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN one ON one.c = n.c AND one.n = n.n LEFT JOIN m ON m.a = one.doc_id
+    """
+
+
 @query(
     "op1_decontaminate",
     r"""
@@ -107,8 +129,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-      CAST(sum(33 + length(replace(replace(role, '', '\'), '<|', '<\|'))
-        + length(replace(replace(text, '', '\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+      CAST(sum(33 + length(replace(replace(role, '\', '\\'), '<|', '<\|'))
+        + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
     FROM rows GROUP BY conv_id
     """,
 )
@@ -130,7 +152,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find_passages(documents(spark, sf_dir))
 
 
-@query("op8_jaccard")
+@query("op8_jaccard", near_copies_sql(5, 75))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf_dir))
 
@@ -147,28 +169,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(documents(spark, sf_dir))
 
 
-def near_copies_sql(words: int, similar: int, kept: str = "") -> str:
-    """Sets of shingles, pairs that share some, and everything reachable by links."""
-    return f"""
-    WITH RECURSIVE w AS MATERIALIZED (
-      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[^\x20\x09-\x0D]+') AS w FROM documents
-    ), s AS MATERIALIZED (
-      SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + {words - 1}], ' ')) AS s
-      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM w WHERE len(w) > 0)
-    ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n, hash(list(s ORDER BY s)) AS c FROM s GROUP BY doc_id
-    ), one AS MATERIALIZED (SELECT c, n, min(doc_id) AS doc_id FROM n GROUP BY c, n
-    ), o AS MATERIALIZED (SELECT s.* FROM s JOIN one USING (doc_id)
-    ), e AS MATERIALIZED (
-      SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM o x JOIN o y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
-      JOIN one p ON p.doc_id = a JOIN one q ON q.doc_id = b WHERE 100 * k >= {similar} * (p.n + q.n - k)
-    ), r AS (SELECT doc_id AS a, doc_id AS b FROM one UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
-    ), m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id{kept}
-    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN one ON one.c = n.c AND one.n = n.n LEFT JOIN m ON m.a = one.doc_id
-    """
-
-
 @query("op11_minhash", near_copies_sql(4, 80, ", w.doc_id = coalesce(component_id, w.doc_id) AS kept"))
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(documents(spark, sf_dir))

@@ -9,7 +9,9 @@ A shard image is: magic, number of levels, ids per level (u64 each), then per le
 directory. Images are rows of a Parquet data set, so Spark's commit protocol keeps a data set whole when executors
 are lost; a shard holds whole documents in ascending ``doc_id`` order and closes at ``shard_tokens`` ids.
 
-Null ``doc_id`` sorts first; rows that share one are ordered by their ids' checksum. Null and empty texts have the
+Pages hold images as they are, uncompressed; :func:`token_at` reads one id from its shard.
+
+Null ``doc_id`` sorts first; rows that share one are ordered by their stored ids. Null and empty texts have the
 end id alone. An empty table gives an empty data set.
 """
 
@@ -24,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazeline.llm.common import utf8
 from hazeline.llm.encoding import worker_encoder
 
 MAGIC = b"DAC1"
@@ -33,10 +34,11 @@ SHARD_TOKENS = 1 << 21
 SHARDS = pa.schema(
     [
         ("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()),
+        ("first_id", pa.int64()), ("last_id", pa.int64()),
         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("image", pa.binary()),
     ]
 )
-SHARDS_SQL = "part int, seq int, before long, n_tokens long, doc_ids array<long>, lengths array<long>, image binary"
+SHARDS_SQL = "part int, seq int, before long, n_tokens long, first_id long, last_id long, doc_ids array<long>, lengths array<long>, image binary"
 
 
 def encode_levels(ids: np.ndarray) -> bytes:
@@ -111,29 +113,24 @@ class Image:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int) -> DataFrame:
-    """(doc_id, width, ids, crc): ids as integers of width bytes, the narrower where they fit."""
+def encode_documents(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, borders: list[float]) -> DataFrame:
+    """(part, doc_id, width, codes): ids as integers of width bytes, and the range of ``borders`` the doc_id is in."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = worker_encoder(tokenizer, spaced), struct.pack("<I", end_id)
+        encoder = worker_encoder(tokenizer, spaced, narrow=True)
+        tail = encoder.packed([end_id])
         for batch in batches:
             for at in range(0, len(batch), 512):
                 some = batch.slice(at, 512)
-                widths, codes, crcs = [], [], []
-                for ids in encoder.encode_all([x.decode() for x in some.column(1).to_pylist()]):
-                    ids += tail
-                    crcs.append(zlib.crc32(ids))
-                    wide = np.frombuffer(ids, "<u4")
-                    widths.append(2 if wide.max() < 1 << 16 else 4)
-                    codes.append(wide.astype("<u2").tobytes() if widths[-1] == 2 else ids)
+                codes = [ids + tail for ids in encoder.encode_all(some.column(1).to_pylist())]
+                part = np.searchsorted(borders, some.column(0).fill_null(-(1 << 63)).to_numpy(), side="right")
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(widths, pa.int32()), pa.array(codes, pa.binary()), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "width", "codes", "crc"],
+                    [pa.array(part, pa.int32()), some.column(0), pa.array([encoder.width] * len(some), pa.int32()), pa.array(codes, pa.binary())],
+                    names=["part", "doc_id", "width", "codes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(
-        encode, "doc_id long, width int, codes binary, crc long"
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(encode, "part int, doc_id long, width int, codes binary")
 
 
 def write_tokens(
@@ -147,7 +144,7 @@ def write_tokens(
 
         def close() -> pa.RecordBatch:
             ids = np.concatenate(pieces)
-            row = [[part], [seq], [before], [len(ids)], [doc_ids], [[len(p) for p in pieces]], [encode_levels(ids)]]
+            row = [[part], [seq], [before], [len(ids)], doc_ids[:1], doc_ids[-1:], [doc_ids], [[len(p) for p in pieces]], [encode_levels(ids)]]
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, f.type) for v, f in zip(row, SHARDS, strict=True)], schema=SHARDS
             )
@@ -167,13 +164,34 @@ def write_tokens(
         if pieces:
             yield close()
 
-    # Range borders come from the ids alone, so texts are tokenized once, on the way to the range shuffle.
+    # Range borders come from the ids alone, so texts are tokenized once, on the way to the range shuffle. Each range is
+    # one partition of its own; a hash of its number would leave some partitions empty and fill others twice.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     borders = docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    part = F.size(F.filter(F.lit(sorted(set(borders))).cast("array<double>"), lambda b: b <= F.col("doc_id"))).cast("int")
-    coded = encode_documents(docs, tokenizer, spaced, end_id).withColumn("part", F.coalesce(part, F.lit(0)))
-    ordered = coded.repartition(n, "part").sortWithinPartitions("part", "doc_id", "crc")
-    ordered.select("part", "doc_id", "width", "codes").mapInArrow(shards, SHARDS_SQL).write.parquet(path)
+    coded = encode_documents(docs, tokenizer, spaced, end_id, sorted(set(borders)))
+    ordered = coded.repartitionById(n, F.col("part")).sortWithinPartitions("part", "doc_id", "codes")
+    shards_ = ordered.select("part", "doc_id", "width", "codes").mapInArrow(shards, SHARDS_SQL)
+    shards_.write.option("compression", "uncompressed").parquet(path)
+
+
+def token_at(spark, path: str, doc_id: int, i: int) -> int:
+    """Id ``i`` of a document, read from its shard alone; of rows that share the doc_id, the first."""
+    shards = spark.read.schema(SHARDS_SQL).parquet(path).where(f"first_id <= {doc_id} AND last_id >= {doc_id}")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, doc_ids, lengths, image in zip(*[batch.column(c) for c in range(5)], strict=True):
+                own = [x.as_py() for x in doc_ids.values]
+                if doc_id in own and 0 <= i < lengths.as_py()[own.index(doc_id)]:
+                    start = sum(lengths.as_py()[: own.index(doc_id)])
+                    row = [[part.as_py()], [seq.as_py()], [Image(image.as_py()).token(start + i)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in row], names=["part", "seq", "token"])
+
+    found = shards.select("part", "seq", "doc_ids", "lengths", "image").mapInArrow(read, "part long, seq long, token long")
+    first = found.orderBy("part", "seq").first()
+    if first is None:
+        raise LookupError(f"no id {i} in document {doc_id}")
+    return first["token"]
 
 
 def read_tokens(spark, path: str) -> DataFrame:

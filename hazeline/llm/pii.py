@@ -36,7 +36,7 @@ PATTERNS = {
     "card": rf"(?<![0-9{JOIN}])[0-9][0-9{JOIN}]{{13,}}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "other": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)\x20?[=:]\x20?[^\s]{6,64}"
+    r"|(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_key)\x20?[=:]\x20?[^\s]{6,}+"
     r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
     r"|(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
 }
@@ -99,7 +99,7 @@ def voted(found: DataFrame) -> DataFrame:
     """Adds ``base`` and a column of -1, 0 or 1 for each labeler."""
     plain = F.regexp_replace("match", JOIN, ".")
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
-    kinds = F.size(F.array_distinct(F.split(F.left("match", F.lit(64)), "")))
+    kinds = F.size(F.array_distinct(F.split("match", "")))
     edge = F.col("before").rlike(r"[A-Za-z0-9]$") | F.coalesce(F.col("after").rlike(r"^[A-Za-z0-9]"), F.lit(False))
     return (
         found.withColumn("base", F.coalesce(passes(), F.lit(False)))
@@ -178,10 +178,12 @@ def spans(docs: DataFrame) -> DataFrame:
     """uid, doc_id, kind, start, end, base, probability of accepted spans; a null kind for rows without any."""
     votes = land(voted(proposals(docs)), "votes")
     scored = votes.withColumn("probability", probability(fit(votes)))
-    order = Window.partitionBy("uid").orderBy("start", "end")
+    order = Window.partitionBy("uid").orderBy("start", "end", "kind")
+    # Running frames from the other end: a frame that shrinks would be summed anew for each row.
+    back = Window.partitionBy("uid").orderBy(*[F.desc(c) for c in ("start", "end", "kind")])
     held = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))
     reach = F.max(held[0]).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    follow = F.min(held[1]).over(order.rowsBetween(1, Window.unboundedFollowing))
+    follow = F.min(held[1]).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(follow >= F.col("end"), F.lit(True)))
     good = F.col("base") | ((F.col("kind") == "other") & (F.col("probability") >= 0.5) & free)
     return scored.withColumn("_good", F.coalesce(good, F.lit(False))).select(

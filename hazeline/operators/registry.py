@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazeline.schema import KEYS
@@ -134,16 +134,36 @@ def register_model(
     return read_registry(spark, root).where(F.col("run") == run)
 
 
-def store_coefficients(root: str, fits: DataFrame, registered: DataFrame, run: str) -> None:
-    """Keep the coefficients of the promoted rows of a run; ``fits`` has their ``name``.
+def registered_name() -> Column:
+    """Name of the hourly model of a row's series."""
+    return F.concat_ws("/", F.lit(HOURLY_MODEL), *KEYS)
 
-    A run's folder is written anew when the run is repeated.
+
+def store_models(root: str, run: str, fits: DataFrame, trees: DataFrame | None = None) -> None:
+    """Keep what a run has trained: ridge coefficients by ``name``, and the node tables of the trees.
+
+    This comes before the run is registered, so a champion always finds its model, and what a failed run leaves
+    behind belongs to no champion. A run's folders are written anew when it is repeated.
     """
-    versions = registered.where("promoted").select("name", "version")
-    fits.join(versions, "name").write.mode("overwrite").parquet(f"{root}/registry_fits/run={run}")
+    fits.write.mode("overwrite").parquet(f"{root}/registry_fits/run={run}")
+    if trees is not None:
+        trees.write.mode("overwrite").parquet(f"{root}/registry_trees/run={run}")
 
 
 def champion_coefficients(spark: SparkSession, root: str) -> DataFrame:
-    """Coefficients of every name's champion, whatever was trained or rejected since."""
-    held = champions(read_registry(spark, root)).select("name", "version", "run")
-    return spark.read.parquet(f"{root}/registry_fits").join(held, ["name", "version", "run"])
+    """Coefficients of every champion that is a ridge model, whatever was trained or rejected since."""
+    held = champions(read_registry(spark, root)).where("model = 'ridge'").select("name", "version", "run")
+    return spark.read.parquet(f"{root}/registry_fits").join(held, ["name", "run"])
+
+
+def champion_trees(spark: SparkSession, root: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Per run with champions that are boosted trees: their names, and the node tables they share.
+
+    The driver holds the runs' ids: as many as there are trainings that still have a champion.
+    """
+    held = champions(read_registry(spark, root)).where("model = 'xgboost'")
+    runs = sorted(r["run"] for r in held.select("run").distinct().collect())
+    return {
+        run: (held.where(F.col("run") == run).select("name"), spark.read.parquet(f"{root}/registry_trees/run={run}"))
+        for run in runs
+    }

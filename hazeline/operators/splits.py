@@ -85,6 +85,21 @@ def rolling_origin_folds(
     return _folds(df, F.lit(test_size), n_splits, gap, grid, keys, message)
 
 
+def training_windows(
+    pos: Column,
+    n: Column,
+    test_fraction: float = 0.2,
+    n_splits: int = 3,
+    test_size: int = 168,
+    gap: int = MAX_FORECAST_HOURS,
+) -> dict[str, Column]:
+    """Which rows train the holdout fit and the fit of each rolling fold, by position in the series."""
+    windows = {"holdout": split_label(pos, n, test_fraction, gap) == "train"}
+    for fold in range(1, n_splits + 1):
+        windows[f"fold_{fold}"] = pos < n - (n_splits + 1 - fold) * test_size - gap
+    return windows
+
+
 def purged_cv_folds(
     df: DataFrame,
     n_splits: int = 3,

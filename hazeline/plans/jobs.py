@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazeline.functions.common import present
-from hazeline.operators import evaluation, products, registry, ridge, splits, summary, trees
+from hazeline.operators import boosting, evaluation, products, registry, ridge, splits, summary, trees
 from hazeline.operators.aqi import current_aqi, last_rows
 from hazeline.operators.baselines import persistence_forecast, seasonal_persistence_forecast
-from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID
+from hazeline.operators.boosting import Boosting
+from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, with_positions
 from hazeline.operators.evaluation import ALL_SQL
 from hazeline.operators.features import hourly_training_frame, latest_window
 from hazeline.operators.merge import merge_air_weather
@@ -64,14 +65,15 @@ def train_hourly_job(
     n_splits: int = 3,
     test_size: int = 168,
     test_fraction: float = 0.2,
-    boosted: dict | None = None,
+    boosted: Boosting | None = None,
     require_gate: bool = True,
-) -> dict[str, DataFrame]:
+) -> dict[str, DataFrame | None]:
     """Train and evaluate on the stored frame; write and return the result tables.
 
     Ridge gets all its fits (holdout and folds, each with its own penalty search)
-    from one pass. ``boosted`` holds the settings of the boosted trees, fitted
-    per output over all series; None leaves them out.
+    from one pass. ``boosted`` holds the settings of the boosted trees, whose
+    ensembles for all outputs and all fits grow together over the rows of all
+    series; None leaves them out.
     """
     frame = store.get_hourly_features(spark, root)
     features = [c for c in frame.columns if c not in (*KEYS, TIME, *TARGET_COLUMNS)]
@@ -96,16 +98,17 @@ def train_hourly_job(
         _ridge_cells(tests, fold_fits.drop("fit"), features, by_fold)
     )
     candidates = ["ridge"]
+    nodes = None
     if boosted is not None:
         candidates.append("xgboost")
-        train = placed.where(F.col("split") == "train")
-        cells = cells.unionByName(_boosted_cells(train, holdout, features, KEYS, boosted))
+        numbered = _table(with_positions(frame, HOURLY_GRID, pos="_pos", n="_n"), root, "numbered")
+        windows = splits.training_windows(F.col("_pos"), F.col("_n"), test_fraction, n_splits, test_size)
+        fitted = boosting.fit_boosted_outputs(numbered, features, TARGET_COLUMNS, windows, boosted)
+        nodes = _table(fitted, root, "boosted_trees")
+        cells = cells.unionByName(_tree_cells(holdout, nodes.where("fit = 'holdout'"), features, KEYS))
         for fold in range(1, n_splits + 1):
-            part = folds.where(F.col("fold") == fold)
             fold_cells = fold_cells.unionByName(
-                _boosted_cells(
-                    part.where("role = 'train'"), part.where("role = 'test'"), features, by_fold, boosted
-                )
+                _tree_cells(tests.where(F.col("fold") == fold), nodes.where(F.col("fit") == f"fold_{fold}"), features, by_fold)
             )
     scores = _table(evaluation.evaluate_outputs(cells), root, "hourly_model_comparison")
     per_fold = _table(evaluation.evaluate_folds(fold_cells), root, "hourly_rolling_origin")
@@ -118,6 +121,7 @@ def train_hourly_job(
     selected = _table(evaluation.select_model_by_group(rolling, candidates), root, "selected_models")
     return {
         "fits": fits,
+        "trees": nodes,
         "scores": scores,
         "per_fold": per_fold,
         "rolling": rolling,
@@ -126,23 +130,12 @@ def train_hourly_job(
     }
 
 
-def _boosted_cells(train, test, features, keep, settings) -> DataFrame:
-    parts = []
-    for index, target in enumerate(TARGET_COLUMNS):
-        model = trees.fit_boosted(train, features, target, **settings)
-        parts.append(
-            trees.score(model, test, features).select(
-                *keep,
-                F.lit("xgboost").alias("model"),
-                F.lit(index).alias(evaluation.INDEX),
-                F.col(target).alias("y"),
-                "yhat",
-            )
-        )
-    cells = parts[0]
-    for part in parts[1:]:
-        cells = cells.unionByName(part)
-    return cells
+def _tree_cells(rows: DataFrame, nodes: DataFrame, features, keep) -> DataFrame:
+    """Forecasts of the trees next to the labels of the same rows."""
+    labelled = rows.withColumn("_y", F.array(*TARGET_COLUMNS))
+    both = boosting.score_trees(labelled, nodes, features, (*keep, "_y"))
+    index = evaluation.INDEX
+    return both.selectExpr(*keep, "'xgboost' AS model", index, f"_y[{index}] AS y", "yhat")
 
 
 def _table(df: DataFrame, root: str, name: str) -> DataFrame:
@@ -191,10 +184,13 @@ def register_hourly_job(
 ) -> DataFrame:
     """Register the model chosen for the hourly points of each series, behind the champion gate.
 
-    The coefficients of promoted versions are kept with them.
+    What the run has trained is kept first; the registry's rows then refer to the run.
     """
     run = run or uuid.uuid4().hex
-    name = F.concat_ws("/", F.lit(registry.HOURLY_MODEL), *KEYS)
+    name = registry.registered_name()
+    fits = results["fits"].where("fit = 'holdout'").drop("fit").withColumn("name", name)
+    trees_ = results["trees"]
+    registry.store_models(root, run, fits, None if trees_ is None else trees_.where("fit = 'holdout'").drop("fit"))
     pooled = results["scores"].where(F.col("output") == "all")
     metrics = registry.flatten_metrics(pooled, list(ALL_SQL))
     chosen = results["selected"].where(F.col("group") == "hourly_points").select(*KEYS, "model")
@@ -216,10 +212,7 @@ def register_hourly_job(
             ).alias("params"),
         )
     )
-    registered = registry.register_model(spark, root, new, registered_at, run=run)
-    fits = results["fits"].where("fit = 'holdout'").drop("fit").withColumn("name", name)
-    registry.store_coefficients(root, fits, registered, run)
-    return registered
+    return registry.register_model(spark, root, new, registered_at, run=run)
 
 
 def register_daily_job(
@@ -240,25 +233,35 @@ def register_daily_job(
     return registry.register_model(spark, root, new, registered_at, gate=False)
 
 
+def latest_features(hourly: DataFrame, as_of, fresh: DataFrame | None = None) -> DataFrame:
+    """Features of the last hour of every series up to ``as_of``."""
+    window = latest_window(hourly, as_of, fresh=fresh)
+    return last_rows(hourly_training_frame(window, include_targets=False), 1)
+
+
 def forecast_latest(
     hourly: DataFrame, models: DataFrame, as_of, fresh: DataFrame | None = None
 ) -> DataFrame:
     """Ridge forecast from the last hour of every series up to ``as_of``."""
-    window = latest_window(hourly, as_of, fresh=fresh)
-    features = hourly_feature_columns(present(hourly, BASE_COLUMNS))
-    latest = last_rows(hourly_training_frame(window, include_targets=False), 1)
-    predicted = ridge.predict(latest, models, features)
-    info = F.expr(
-        "CASE output "
-        + " ".join(
-            f"WHEN '{n}' THEN named_struct('kind', '{k}', 'first', {a}, 'last', {b})"
-            for n, _, k, a, b in OUTPUTS
-        )
-        + " END"
+    return forecast_with(latest_features(hourly, as_of, fresh), models, {}, present(hourly, BASE_COLUMNS))
+
+
+def forecast_with(
+    latest: DataFrame, models: DataFrame, trees_: dict[str, tuple[DataFrame, DataFrame]], columns
+) -> DataFrame:
+    """Forecast of each series by its own model: coefficients in ``models`` or the trees of the run that names it."""
+    features = hourly_feature_columns(columns)
+    index = evaluation.INDEX
+    predicted = ridge.predict(latest, models, features).select(*KEYS, TIME, index, "yhat")
+    for names, nodes in trees_.values():
+        rows = latest.withColumn("name", registry.registered_name()).join(names, "name", "left_semi")
+        predicted = predicted.unionByName(boosting.score_trees(rows, nodes, features, (*KEYS, TIME)))
+    info = ", ".join(
+        f"named_struct('output', '{n}', 'kind', '{k}', 'first', {a}, 'last', {b})" for n, _, k, a, b in OUTPUTS
     )
     long = predicted.select(
-        *KEYS, F.col(TIME).alias(products.ORIGIN), "output", info.alias("i"), F.col("yhat").alias("value")
-    ).select(*KEYS, products.ORIGIN, "output", "i.*", "value")
+        *KEYS, F.col(TIME).alias(products.ORIGIN), F.expr(f"array({info})[{index}]").alias("i"), F.col("yhat").alias("value")
+    ).select(*KEYS, products.ORIGIN, "i.*", "value")
     return products.label_outputs(long)
 
 
@@ -267,11 +270,13 @@ def forecast_job(
 ) -> DataFrame:
     """Forecast documents of all series with a champion, written below ``root``.
 
-    The champion's own coefficients forecast; a rejected challenger changes nothing.
+    The champion's own coefficients or trees forecast; a rejected challenger changes nothing.
     """
     hourly = store.get_hourly_raw(spark, root)
     models = registry.champion_coefficients(spark, root).drop("name", "version", "run")
-    forecast = _table(forecast_latest(hourly, models, as_of, fresh), root, "forecast")
+    latest = _table(latest_features(hourly, as_of, fresh), root, "latest")
+    forecast = forecast_with(latest, models, registry.champion_trees(spark, root), present(hourly, BASE_COLUMNS))
+    forecast = _table(forecast, root, "forecast")
     current = current_aqi(latest_window(hourly, as_of, fresh=fresh))
     documents = products.forecast_document(forecast, current, reference, as_of, registry.HOURLY_MODEL)
     products.write_documents(documents, f"{root}/forecast")

@@ -46,8 +46,8 @@ K, SIMILAR = 4, 80
 SYMBOLS, BITS = 64, 16
 #: Symbols a candidate's signatures may differ in, and the chunks that leave one of them with at most one difference.
 DISTANCE, CHUNKS = 29, 15
-#: Leaders of a key, and rounds of leaders before what is left is compared pair by pair.
-LEADERS, ROUNDS = 2, 2
+#: Leaders of a key, leaders a class is compared with, and rounds of that before the rest is compared pair by pair.
+LEADERS, BEST, ROUNDS = 2, 4, 2
 PLANES = [f"s{i}" for i in range(BITS)]
 #: Bits of the sketches that pairs of the last step are held against, and how many may differ, which
 #: 4.4e-7 of pairs with a similarity of 0.8 exceed.
@@ -127,7 +127,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def spread(nodes: DataFrame, name: str, values) -> DataFrame:
-    """(name, node, component): a row for each of the SYMBOLS values that ``values`` gives for a signature."""
+    """(name, q, node, component): a row for each of the SYMBOLS values that ``values`` gives for a signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,10 +135,11 @@ def spread(nodes: DataFrame, name: str, values) -> DataFrame:
                 some = batch.slice(at, 1000)
                 planes = np.stack([some.column(p).to_numpy() for p in PLANES], axis=1)
                 columns = [values(from_planes(planes)).ravel().view(np.int64)]
+                columns += [np.tile(np.arange(SYMBOLS, dtype=np.int32), len(some))]
                 columns += [np.repeat(some.column(c).to_numpy(), SYMBOLS) for c in ("node", "component")]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[name, "node", "component"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[name, "q", "node", "component"])
 
-    return nodes.select("node", "component", *PLANES).mapInArrow(run, f"{name} long, node long, component long")
+    return nodes.select("node", "component", *PLANES).mapInArrow(run, f"{name} long, q int, node long, component long")
 
 
 def open_values(entries: DataFrame, name: str, *more: Column) -> DataFrame:
@@ -165,24 +166,28 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     return land(members.select("key", "node").join(members.groupBy("node").agg(F.sum("met").alias("met")), "node"), "shared")
 
 
-def leader_votes(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, votes): in how many of its keys a node meets a leader of another component.
+def leader_votes(members: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """(a, b, votes): how much the keys in which a node meets a leader of another component speak for it.
 
-    Leaders are the classes that meet most others, those in the middle of a group, and by hash among equals.
+    In the first turn leaders are the classes that meet most others, those in the middle of a group, and each key counts
+    once. Later turns draw leaders by hash, and a key counts for more the fewer classes share it: who differs from the
+    middle of a group in the same way meets in rare keys.
     """
     named = land(members.join(nodes.select("node", "component"), "node"), "named")
+    rank = -F.col("met") if turn == 0 else F.lit(0).cast("long")
     leaders = [
-        F.min(F.struct(-F.col("met"), F.xxhash64("node", F.lit(i)), "node", "component")).alias(f"l{i}") for i in range(LEADERS)
+        F.min(F.struct(rank, F.xxhash64("node", F.lit(LEADERS * turn + i)), "node", "component")).alias(f"l{i}") for i in range(LEADERS)
     ]
-    keys = open_values(named, "key", *leaders)
+    keys = open_values(named, "key", F.count("*").alias("size"), *leaders)
     each = F.explode(F.array_distinct(F.expr(f"transform(array({', '.join(f'l{i}' for i in range(LEADERS))}), l -> struct(l.node, l.component))")))
-    met = named.join(keys.hint("merge"), "key").select("node", "component", each.alias("l")).where("component <> l.component")
-    return land(met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.count("*").alias("votes")), "votes")
+    met = named.join(keys.hint("merge"), "key").select("node", "component", "size", each.alias("l")).where("component <> l.component")
+    weight = F.lit(1.0) if turn == 0 else 1 / F.col("size")
+    return land(met.groupBy(F.col("node").alias("a"), F.col("l.node").alias("b")).agg(F.sum(weight).alias("votes")), "votes")
 
 
 def nearest(votes: DataFrame) -> DataFrame:
-    """(a, b) of each node with the LEADERS leaders it shares most keys with."""
-    best = votes.groupBy("a").agg(F.expr(f"slice(sort_array(collect_list(struct(-votes, b))), 1, {LEADERS})").alias("best"))
+    """(a, b) of each node with the BEST leaders that most speaks for."""
+    best = votes.groupBy("a").agg(F.expr(f"slice(sort_array(collect_list(struct(-votes, b))), 1, {BEST})").alias("best"))
     return best.select("a", F.explode("best.b").alias("b"))
 
 
@@ -227,7 +232,8 @@ def sets_for(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame
 
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("first_id"), utf8().alias("_utf8"))
     kinds = ", ".join(f"{w} long" for w in WORDS)
-    found = texts.join(asked, "first_id").select("node", "_utf8").mapInArrow(run, f"node long, shingles binary, {kinds}")
+    # In one way at every size, so that costs grow evenly.
+    found = texts.join(asked.hint("merge"), "first_id").select("node", "_utf8").mapInArrow(run, f"node long, shingles binary, {kinds}")
     return land(found.dropDuplicates(["node"]), "sets")
 
 
@@ -272,20 +278,42 @@ def relabel(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return land(joined.select(*nodes.columns), "nodes")
 
 
+def first_key(differ: str, q: str) -> str:
+    """Whether ``q`` is the first symbol that two signatures may leave out to share a key.
+
+    ``differ`` has a bit for each symbol in which they differ. Of the first chunk with at most one such symbol it is that
+    symbol, or the chunk's first.
+    """
+    cases = []
+    edges = chunk_edges()
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        bits = (1 << high) - (1 << low)
+        chunk = f"(x & {bits - (1 << 64) if bits >= 1 << 63 else bits}L)"
+        cases.append(f"WHEN {chunk} = 0 THEN {q} = {low} WHEN ({chunk} & ({chunk} - 1)) = 0 THEN {chunk} = shiftleft(1L, {q})")
+    return f"exists(array({differ}), x -> CASE {' '.join(cases)} ELSE false END)"
+
+
 def remaining_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs (a, b) in different components that share a key, have near sketches and may be linked."""
+    """All pairs (a, b) in different components that are within the distance, have near sketches and may be linked.
+
+    A pair comes up once, at the first key it shares.
+    """
     # A partner has at least SIMILAR hundredths of a node's shingles.
     may = nodes.join(shared_outside(nodes, sets), "node").where(f"100 * m >= {SIMILAR} * n")
     may = land(may, "may")
-    sketched = may.select("node", "component", "n", "m").join(sets.select("node", *WORDS).hint("merge"), "node")
+    sketched = may.join(sets.select("node", *WORDS).hint("merge"), "node")
     entries = spread(may, "key", keys_of)
-    left = entries.join(open_values(entries, "key").hint("merge"), "key").select("key", "node")
+    left = entries.join(open_values(entries, "key").hint("merge"), "key").select("key", "q", "node")
     left = land(left.join(sketched.hint("merge"), "node"), "left")
-    enough = F.expr(f"{100 + SIMILAR} * least(a.m, b.m) >= {SIMILAR} * (a.n + b.n)")
-    differ = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in WORDS)
-    alike = F.expr(f"a.key = b.key AND a.component < b.component AND {differ} <= {SKETCH_DISTANCE}") & enough
+    enough = f"{100 + SIMILAR} * least(a.m, b.m) >= {SIMILAR} * (a.n + b.n)"
+    sketch = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in WORDS)
+    differ = " | ".join(f"(a.{p} ^ b.{p})" for p in PLANES)
+    alike = F.expr(
+        f"a.key = b.key AND a.component < b.component AND {enough} AND {sketch} <= {SKETCH_DISTANCE} "
+        f"AND bit_count({differ}) <= {DISTANCE} AND {first_key(differ, 'a.q')}"
+    )
     both = left.alias("a").join(left.alias("b").hint("merge"), alike)
-    return land(both.selectExpr("a.node AS a", "b.node AS b").distinct(), "pairs")
+    return land(both.selectExpr("a.node AS a", "b.node AS b"), "pairs")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -300,8 +328,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = classes.select("node", "n", F.col("node").alias("component"), *PLANES)
     members = shared_keys(nodes)
     sets = sets_for(docs, classes, viable(nodes, members))
-    for _ in range(ROUNDS):
-        nodes = relabel(nodes, links(close_pairs(nearest(leader_votes(members, nodes)), nodes), sets))
+    for turn in range(ROUNDS):
+        nodes = relabel(nodes, links(close_pairs(nearest(leader_votes(members, nodes, turn)), nodes), sets))
     nodes = relabel(nodes, links(remaining_pairs(nodes, sets), sets))
     named = classes.select("node", "d2", "n", "first_id").join(nodes.select("node", "component"), "node")
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -13,10 +13,15 @@ texts that share a passage share the signature of a window over it.
    enough occur in the leader for a Jaccard similarity of 0.75 are kept, and their union is a passage. The members of
    one leader are split over as many groups as their size asks for, so a passage in a third of all documents is no
    task of its own.
-4. Exact repeats don't depend on a leader: equal stretches of ``SPAN`` tokens have the same signature and leader, so
-   either all of them are near the leader or none is, and those that aren't are grouped by a hash of the whole
-   stretch. What occurs in two documents is a passage, too. Members that are near each other, but neither equal over a
-   stretch nor near a leader of theirs, are not found.
+4. Stretches that aren't near their leader go into further rounds. In each, the tokens that leaders met so far have
+   don't count any more: the least of the others, under each of ``HASHES`` new functions, is the stretch's next
+   signature, and the smallest document that shares it the next leader. Documents that share nothing but a common
+   line lose that line after one round and have no signature in common any more, while those that are near each other
+   share most of what their leader lacks. A stretch without tokens left has its own hash as signature. A stretch is
+   done when it is near a leader or shares its signature with no other document; rounds end when all are, after
+   ``SPAN`` + 1 at most. Equal stretches have the same signatures and leaders throughout, so exact repeats are found
+   whatever the leaders; a near one is missed where every signature it shares leads to far leaders until the end.
+   Stretches travel in runs of at most ``RUN``, so a round's rows are of bounded size.
 
 Words are runs of bytes other than space and tab to carriage return, A-Z in lower case; words count from 0 and ends
 are exclusive. Null, empty and short texts have no passages. Repeats inside one document don't count; rows that share
@@ -39,6 +44,8 @@ K, SPAN, HASHES = 5, 46, 3
 ENOUGH = -(-6 * SPAN // 7)
 #: Tokens of members compared with a leader in one group.
 GROUP = 1_000_000
+#: Stretches of a run that goes into further rounds, and stretches whose positions are numbered together.
+RUN, BLOCK = 128, 4_000_000
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -79,13 +86,11 @@ def window_rows(docs: DataFrame) -> DataFrame:
                 if not n.sum():
                     continue
                 tokens = hash_runs(chunk.words, K)
-                for at in _blocks(n):
-                    text = np.repeat(at, n[at])
-                    inside = np.arange(len(text)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-                    base = int(chunk.first[at[0]])
-                    stop = int(chunk.first[at[-1]] + chunk.count[at[-1]]) - (K - 1)
+                for text, first, size in _blocks(n):
+                    starts = chunk.first[text] + first
+                    base, stop = int(starts[0]), int(starts[-1] + size[-1]) + SPAN - 1
                     some = tokens[base:stop]
-                    valid = chunk.first[text] + inside - base
+                    valid = np.arange(size.sum()) + np.repeat(starts - base - np.cumsum(size) + size, size)
                     owner = np.repeat(np.arange(len(chunk.count)), chunk.count)[base:stop]
                     for turn in range(HASHES):
                         centre, first, last = compact_windows(some, valid, turn)
@@ -105,17 +110,22 @@ def window_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "signature long, doc_id long, place long")
 
 
-def _blocks(n: np.ndarray) -> Iterator[np.ndarray]:
-    """Texts with stretches, so many at a time that positions fit the low bits of an order."""
+def _blocks(n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, first stretch and number of stretches, so many at a time that positions fit the low bits of an order.
+
+    A text of more stretches comes in pieces; windows reach no further than a stretch, so pieces lose none.
+    """
     some, held = [], 0
     for i in np.flatnonzero(n).tolist():
-        if some and held + n[i] > 4_000_000:
-            yield np.array(some)
-            some, held = [], 0
-        some.append(i)
-        held += int(n[i])
+        for first in range(0, int(n[i]), BLOCK):
+            size = min(BLOCK, int(n[i]) - first)
+            if some and held + size > BLOCK:
+                yield tuple(np.array(c, np.int64) for c in zip(*some, strict=True))
+                some, held = [], 0
+            some.append((i, first, size))
+            held += size
     if some:
-        yield np.array(some)
+        yield tuple(np.array(c, np.int64) for c in zip(*some, strict=True))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -168,17 +178,42 @@ def covered(hit: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def left_over(tokens: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First token and hash of the stretches of SPAN tokens that aren't near the leader.
+def left_over(tokens: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """First token of the stretches of SPAN tokens that aren't near the leader.
 
     A leader answers for the stretches whose minimum under the first function is a token of its own; others have
     another leader under that function, or none.
     """
-    if len(hit) < SPAN:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    centre, first, last = compact_windows(tokens, np.arange(len(hit) - SPAN + 1), 0)
-    at = np.flatnonzero(np.repeat(hit[centre], last - first + 1) & ~enough(hit))
-    return at, hash_runs(tokens, SPAN)[at] if len(at) else np.empty(0, np.uint64)
+    out = [np.empty(0, np.int64)]
+    for start in range(0, len(hit) - SPAN + 1, BLOCK):
+        some = tokens[start : start + BLOCK + SPAN - 1]
+        centre, first, last = compact_windows(some, np.arange(len(some) - SPAN + 1), 0)
+        out.append(start + np.flatnonzero(np.repeat(hit[start + centre], last - first + 1)))
+    at = np.concatenate(out)
+    return at[~enough(hit)[at]] if len(at) else at
+
+
+def carve(starts: np.ndarray, tokens: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """First token, tokens and which of them count, of the runs of stretches that begin at ``starts``."""
+    cuts = np.flatnonzero(np.diff(starts) > 1) + 1
+    for run in np.split(starts, cuts) if len(starts) else []:
+        for at in range(0, len(run), RUN):
+            low, high = int(run[at]), int(run[min(at + RUN, len(run)) - 1]) + SPAN
+            yield low, tokens[low:high].tobytes(), live[low:high].astype(np.uint8).tobytes()
+
+
+def signs(tokens: np.ndarray, live: np.ndarray, valid: np.ndarray, turn: int) -> np.ndarray:
+    """The signature of each stretch that begins at ``valid``: of its live tokens, or of the whole if it has none."""
+    with np.errstate(over="ignore"):
+        order = mix(tokens + np.uint64(HASHES + turn + 1) * np.uint64(0x9E3779B97F4A7C15)) & ~LOW
+        order[~live] = ~LOW
+        least = sliding_minimum(order | np.arange(len(tokens), dtype=np.uint64), SPAN)
+        centre = (least[valid] & LOW).astype(np.int64)
+        sign = mix(tokens[centre] ^ np.uint64(turn))
+        none = ~live[centre]
+        if none.any():
+            sign[none] = mix(hash_runs(tokens, SPAN)[valid[none]] ^ np.uint64(HASHES + turn))
+    return sign
 
 
 def runs(mask: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -188,15 +223,28 @@ def runs(mask: np.ndarray, hit: np.ndarray) -> Iterator[tuple[int, int]]:
         yield low + int(inside[0]), low + int(inside[-1]) + 1
 
 
+FOUND = "turn int, doc_id long, first_word long, end_word long, partner_id long, tokens binary, live binary"
+
+
+def found_rows(passages: list[tuple], left: list[tuple]) -> list[pa.Array]:
+    """Columns of FOUND: passages (doc_id, first_word, end_word, partner_id), then runs (turn, doc_id, low, tokens, live)."""
+    rows = [(None, *p, None, None) for p in passages] + [(t, i, low, None, None, *data) for t, i, low, *data in left]
+    kinds = [pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+    return [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+
+
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
 def compare(table: pa.Table) -> pa.Table:
-    """Passages of the members of one leader, and of the leader; stretches of members that aren't near it, by hash."""
+    """Passages of the members of one leader, and of the leader; runs of members' stretches that aren't near it."""
     ids, leads, lows, tokens = (table.column(c).to_pylist() for c in ("doc_id", "leader", "low", "tokens"))
     leader = leads[0]
     # Rows that share the leader's id are one document.
     own = [np.frombuffer(t, np.uint64) for t in sorted({t for i, t in zip(ids, tokens, strict=True) if i == leader})]
     names = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
     out: list[tuple[int, int, int, int]] = []
-    rest: list[tuple[np.ndarray, ...]] = []
+    rest: list[tuple] = []
     if len(names):
         met = [np.zeros(len(o), bool) for o in own]
         partner = None
@@ -214,34 +262,99 @@ def compare(table: pa.Table) -> pa.Table:
                     for a, b in runs(covered(back), back):
                         m[a:b] = True
                 partner = i if partner is None else min(partner, i)
-            first, stretch = left_over(some, hit)
-            rest.append((np.full(len(first), i), low + first, stretch.view(np.int64)))
+            rest += [(-1, i, low + first, *data) for first, *data in carve(left_over(some, hit), some, ~hit)]
         for m in met if partner is not None else []:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
             out += [(leader, a, b + K - 1, partner) for a, b in edges.reshape(-1, 2).tolist()]
-    columns = [pa.array(c, pa.int64()) for c in list(zip(*out, strict=True)) or [()] * 4]
-    more = [np.concatenate(c).astype(np.int64) for c in zip(*rest, strict=True)] or [np.empty(0, np.int64)] * 3
-    names_of = ["doc_id", "first_word", "end_word", "partner_id", "stretch"]
-    near = pa.table([*columns, pa.nulls(len(out), pa.int64())], names=names_of)
-    none = pa.nulls(len(more[0]), pa.int64())
-    return pa.concat_tables([near, pa.table([more[0], more[1], more[1] + SPAN + K - 1, none, more[2]], names=names_of)])
+    return pa.table(found_rows(out, rest), names=FOUND_NAMES)
 
 
-def exact_repeats(found: DataFrame) -> DataFrame:
-    """doc_id, first_word, end_word, partner_id of left-over stretches that occur in two documents.
+def sign_rows(left: DataFrame) -> DataFrame:
+    """(key, turn, run, doc_id): the signatures of each run's stretches; turn -1 stands for every function."""
 
-    The partner is the smallest id that holds the stretch; for that one, the largest.
-    """
-    rows = found.where("stretch is not null").select("stretch", "doc_id", "first_word")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 10_000):
+                some = batch.slice(start, 10_000)
+                tokens, live = (b"".join(some.column(c).to_pylist()) for c in ("tokens", "live"))
+                tokens, live = np.frombuffer(tokens, np.uint64), np.frombuffer(live, np.uint8) > 0
+                length = np.array([len(x.as_buffer()) for x in some.column("live")], np.int64)
+                turns = some.column("turn").to_numpy()
+                first = np.cumsum(length) - length
+                for turn in range(HASHES):
+                    who = np.flatnonzero((turns == turn) | (turns < 0))
+                    if not len(who):
+                        continue
+                    n = length[who] - SPAN + 1
+                    valid = np.arange(n.sum()) + np.repeat(first[who] - np.cumsum(n) + n, n)
+                    owner = np.repeat(who, n)
+                    sign = signs(tokens, live, valid, turn)
+                    new = np.flatnonzero(np.concatenate([[True], (sign[1:] != sign[:-1]) | (np.diff(owner) > 0)]))
+                    columns = [pa.array(sign[new].view(np.int64)), pa.array(np.full(len(new), turn, np.int32))]
+                    columns += [some.column(c).take(pa.array(owner[new])) for c in ("run", "doc_id")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "turn", "run", "doc_id"])
+
+    return left.mapInArrow(run, "key long, turn int, run long, doc_id long")
+
+
+def compare_runs(pairs: DataFrame) -> DataFrame:
+    """Passages of runs and their next leaders; what isn't near goes on without the tokens of that leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "turn", "doc_id", "low", "tokens", "live", "leader", "lead_low", "lead_tokens"]
+        for batch in batches:
+            out, rest = [], []
+            for key, turn, i, low, data, live, leader, lead_low, lead in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                some, own, live = np.frombuffer(data, np.uint64), np.frombuffer(lead, np.uint64), np.frombuffer(live, np.uint8) > 0
+                hit = np.isin(some, own)
+                mask = covered(hit) & (i != leader)
+                if mask.any():
+                    out += [(i, low + a, low + b + K - 1, leader) for a, b in runs(mask, hit)]
+                    back = np.isin(own, some[mask])
+                    out += [(leader, lead_low + a, lead_low + b + K - 1, i) for a, b in runs(covered(back), back)]
+                here = signs(some, live, np.arange(len(some) - SPAN + 1), turn).view(np.int64) == key
+                # Another run of the leader's own document isn't its partner, but may be one of those that go on.
+                starts = np.flatnonzero(here & ~(enough(hit) & (i != leader)))
+                rest += [(turn, i, low + first, *more) for first, *more in carve(starts, some, live & ~hit)]
+            yield pa.RecordBatch.from_arrays(found_rows(out, rest), names=FOUND_NAMES)
+
+    return pairs.mapInArrow(run, FOUND)
+
+
+def next_leaders(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, turn, run, doc_id, lead_run, leader) of runs that share a signature, and the runs with a name each."""
+    name = F.xxhash64("turn", "doc_id", "first_word", "tokens", "live").alias("run")
+    left = left.select(name, "turn", "doc_id", F.col("first_word").alias("low"), "tokens", "live")
+    keys = land(sign_rows(left), "keys")
     shared = (
-        rows.groupBy("stretch")
-        .agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-        .where("_first < _last")
-    )
-    partner = F.when(F.col("doc_id") > F.col("_first"), F.col("_first")).otherwise(F.col("_last"))
-    return rows.join(shared, "stretch").select(
-        "doc_id", "first_word", (F.col("first_word") + SPAN + K - 1).alias("end_word"), partner.alias("partner_id")
+        keys.groupBy("key")
+        .agg(F.min(F.struct("doc_id", "run")).alias("l"), F.max("doc_id").alias("_last"))
+        .where("l.doc_id < _last")
+        .select("key", F.col("l.doc_id").alias("leader"), F.col("l.run").alias("lead_run"))
     )
+    # Landed, so that the join has two plain exchanges and a hot signature can be split.
+    shared = land(shared, "shared")
+    pairs = keys.join(shared.hint("merge"), "key").where("run <> lead_run or doc_id <> leader").dropDuplicates(["key", "run", "doc_id"])
+    return land(pairs, "pairs"), left
+
+
+def further_rounds(left: DataFrame) -> list[DataFrame]:
+    """Passages (doc_id, first_word, end_word, partner_id) of the runs ``left``, round by round until none is left."""
+    out = []
+    while True:
+        pairs, named = next_leaders(left)
+        if pairs.isEmpty():
+            return out
+        asked = pairs.select("run", "doc_id").union(pairs.select("lead_run", "leader")).distinct()
+        held = land(named.join(asked.hint("merge"), ["run", "doc_id"], "left_semi").dropDuplicates(["run", "doc_id"]), "runs")
+        leads = held.select(
+            F.col("run").alias("lead_run"), F.col("doc_id").alias("leader"),
+            F.col("low").alias("lead_low"), F.col("tokens").alias("lead_tokens"),
+        )
+        both = pairs.join(held.drop("turn").hint("merge"), ["run", "doc_id"]).join(leads.hint("merge"), ["lead_run", "leader"])
+        found = land(compare_runs(both), "round")
+        out.append(found.where("tokens is null").select("doc_id", "first_word", "end_word", "partner_id"))
+        left = found.where("tokens is not null")
 
 
 def tokens_of(needs: DataFrame) -> DataFrame:
@@ -283,11 +396,13 @@ def find_passages(docs: DataFrame) -> DataFrame:
     members = salted.groupBy("doc_id").agg(F.collect_list("m").alias("members"))
     needs = land(leads.join(members, "doc_id", "full"), "needs")
     found = tokens_of(texts.join(needs.hint("merge"), "doc_id")).groupBy("leader", "salt").applyInArrow(
-        compare, "doc_id long, first_word long, end_word long, partner_id long, stretch long"
+        compare, FOUND
     )
     found = land(found, "found")
-    found = found.where("stretch is null").drop("stretch").unionByName(exact_repeats(found))
-    found = land(found, "passages")
+    near = found.where("tokens is null").select("doc_id", "first_word", "end_word", "partner_id")
+    for more in further_rounds(found.where("tokens is not null")):
+        near = near.unionByName(more)
+    found = land(near, "passages")
     spans = united(found.select("doc_id", "first_word", "end_word"), ["doc_id"], "first_word", "end_word")
     partner = found.groupBy("doc_id").agg(F.min("partner_id").alias("partner_id"))
     return spans.join(partner, "doc_id").select("doc_id", "first_word", "end_word", "partner_id")

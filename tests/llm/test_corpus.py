@@ -407,6 +407,62 @@ def test_exact_passages_need_no_leader(spark):
     assert found == want
 
 
+@pytest.mark.parametrize("far", [True, False])
+def test_near_passages_beside_far_leaders(spark, far):
+    """Recall of planted near passages, held against brute force, with and without smaller documents like both."""
+    rnd = random.Random(5)
+    rows, pairs = [], []
+    for k in range(100):
+        passage = [f"p{k}x{i}" for i in range(60)]
+        other, leader = list(passage), list(passage)
+        other[rnd.randrange(22, 38)] = f"o{k}"
+        leader[20], leader[40] = f"q{k}", f"r{k}"
+        rows += [(3 * k, leader)] * far + [(3 * k + 1, passage), (3 * k + 2, other)]
+        pairs.append((3 * k + 1, 3 * k + 2))
+    around = lambda: [f"a{rnd.random()}" for _ in range(30)]
+    texts = {i: around() + w + around() for i, w in rows}
+    tokens = {i: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for i, w in texts.items()}
+
+    def near(a, b):
+        return any(len(set(tokens[a][j : j + 46]) & set(tokens[b])) >= 40 for j in range(len(tokens[a]) - 45))
+
+    want = [p for p in pairs if near(*p)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    found = {r["doc_id"] for r in passages.find_passages(docs).collect()}
+    assert len(want) > 80 and sum(a in found and b in found for a, b in want) >= 0.9 * len(want)
+    assert all(any(near(i, j) for j in range(i - i % 3, i - i % 3 + 3) if j != i and j in texts) for i in found)
+
+
+def test_common_lines_end(spark):
+    """Texts that share two lines, none long enough, end without a passage; equal ones among them are found."""
+    rnd = random.Random(6)
+    one, two = [f"x{i}" for i in range(24)], [f"y{i}" for i in range(24)]
+    unique = lambda n: [f"u{rnd.random()}" for _ in range(n)]
+    texts = [unique(20) + one + unique(6) + two + unique(20) for _ in range(60)]
+    texts += [one + two[:12] + one[:12] + two, one + two[:12] + one[:12] + two]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in passages.find_passages(docs).collect()} == {60, 61}
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    """Windows of a text in pieces are those of the whole text."""
+    tokens = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64)
+    n = np.array([0, 300, 0, 55])
+
+    def spans():
+        out = set()
+        for text, first, size in passages._blocks(n):
+            for t, f, c in zip(text.tolist(), first.tolist(), size.tolist(), strict=True):
+                centre, a, b = passages.compact_windows(tokens[f : f + c + 45], np.arange(c), 0)
+                for x, low, high in zip((centre + f).tolist(), (a + f).tolist(), (b + f).tolist(), strict=True):
+                    out |= {(t, s, x) for s in range(low, high + 1)}
+        return out
+
+    whole = spans()
+    monkeypatch.setattr(passages, "BLOCK", 64)
+    assert spans() == whole and len(whole) == 355
+
+
 def test_sliding_minimum():
     values = np.random.default_rng(0).integers(0, 1000, 300).astype(np.uint64)
     for width in (1, 2, 3, 46, 64, 300):

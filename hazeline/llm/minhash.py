@@ -12,7 +12,7 @@ all ways to leave out one symbol are enumerated: 64 keys a class, and every pair
 meet most other classes, by a sum Spark combines before the shuffle; each class is compared with the leaders it shares most
 keys with. Links make components. What is left are pairs in different components, and all of those within the distance that
 share a key are compared, but for classes that can't have a link any more: a link takes 4/9 of the two sizes as common
-shingles, so both classes need that many shingles that occur in other components, and sketches of 1,024 bits must be near
+shingles, so both classes need that many shingles that occur in other components, and sketches of 2,048 bits must be near
 enough. But for the errors of signature and sketch, no pair within the distance is left out
 whose link would unite two components. The cost of that last step grows with the square of a group only where its documents
 share nearly all they have without being linked.
@@ -51,7 +51,7 @@ LEADERS, BEST, ROUNDS = 2, 4, 2
 PLANES = [f"s{i}" for i in range(BITS)]
 #: Bits of the sketches that pairs of the last step are held against, and how many may differ, which
 #: 4.4e-7 of pairs with a similarity of 0.8 exceed.
-SKETCH, SKETCH_DISTANCE = 1024, 152
+SKETCH, SKETCH_DISTANCE = 2048, 274
 WORDS = [f"k{i}" for i in range(SKETCH // 64)]
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazeline.functions.common import any_null, hour_floor
-from hazeline.operators.chunks import CHUNK, DAILY_GRID, HOURLY_GRID, Grid
+from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, Grid
+from hazeline.operators.quantiles import VALUE, exact_quantiles, long_values, sketched
 from hazeline.schema import KEYS, PROVIDER, TIME
 
 
@@ -15,25 +16,50 @@ def _unpivot(df: DataFrame, keys, columns, name: str, value: str) -> DataFrame:
     return df.unpivot(list(keys), [F.col(f"`{c}`") for c in columns], name, value)
 
 
-def cadence_report(df: DataFrame, grid: Grid, keys=KEYS) -> DataFrame:
+# Steps in one bitmap, as many as Spark's bitmap functions hold (4 KB).
+BITS = 32_768
+
+
+def _bit(grid: Grid) -> tuple:
+    """Bucket and place of a step in the bitmaps of a series."""
+    steps = grid.steps()
+    return F.floor(steps / F.lit(BITS)).cast("bigint"), F.pmod(steps, F.lit(BITS).cast("bigint"))
+
+
+def cadence_report(df: DataFrame, grid: Grid, keys=KEYS, facts=None) -> DataFrame:
     """Rows, distinct steps, span, duplicates and missing steps per series.
 
-    With one offset inside the step, gaps are a matter of counting: no window.
+    Steps are marked in bitmaps, one of 4 KB for each 32,768 steps of a series, so that no list of
+    times is shuffled. Times off the step are marked apart for each offset inside it. ``facts``
+    are further aggregates of the same pass, given as name: (aggregate, aggregate over parts).
     """
     time = F.col(grid.column)
+    facts = facts or {}
     if grid.step == "day":
-        offset, length = F.lit(0.0), F.datediff(F.max(time), F.min(time)).cast("bigint")
+        offset = F.lit(0)
+        length = F.datediff(F.max("last"), F.min("first")).cast("bigint")
     else:
         offset = F.extract(F.lit("MINUTE"), time) * 60 + F.extract(F.lit("SECOND"), time)
-        length = grid.steps(F.max(time)) - grid.steps(F.min(time))
-    report = df.groupBy(*keys).agg(
+        length = grid.steps(F.max("last")) - grid.steps(F.min("first"))
+    bucket, place = _bit(grid)
+    parts = df.groupBy(*keys, offset.alias("_offset"), bucket.alias("_bucket")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(time).alias("distinct_steps"),
         F.count_if(time.isNull()).alias("invalid"),
         F.min(time).alias("first"),
         F.max(time).alias("last"),
+        F.bitmap_count(F.bitmap_construct_agg(place)).alias("distinct_steps"),
+        *[part.alias(name) for name, (part, _) in facts.items()],
+    )
+    offsets = F.when(F.col("last").isNotNull(), F.col("_offset"))
+    report = parts.groupBy(*keys).agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("distinct_steps").alias("distinct_steps"),
+        F.sum("invalid").alias("invalid"),
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
         (length + 1).alias("expected_steps"),
-        F.coalesce(F.min(offset) == F.max(offset), F.lit(True)).alias("aligned"),
+        F.coalesce(F.min(offsets) == F.max(offsets), F.lit(True)).alias("aligned"),
+        *[merge(name).alias(name) for name, (_, merge) in facts.items()],
     )
     return report.withColumns(
         {
@@ -84,21 +110,35 @@ def require_daily_cadence(df: DataFrame, keys=KEYS) -> DataFrame:
 def missing_steps(df: DataFrame, grid: Grid = HOURLY_GRID, keys=KEYS) -> DataFrame:
     """One row per step that a series lacks inside its span.
 
-    Expected steps are unfolded chunk by chunk, so no row holds a whole series.
+    Bitmaps tell which buckets lack any step, and only those are unfolded, bucket by bucket; a bucket
+    without any row has no bitmap.
     """
-    time = grid.column
+    keys, time = list(keys), grid.column
+    bucket, place = _bit(grid)
     steps = grid.steps()
-    actual = df.where(F.col(time).isNotNull()).select(*keys, steps.alias("_step")).distinct()
-    size = F.lit(grid.chunk_steps)
-    chunk = F.floor(F.col("_step") / size).cast("bigint")
-    span = actual.groupBy(*keys).agg(F.min("_step").alias("_lo"), F.max("_step").alias("_hi"))
-    chunks = span.withColumn(
-        CHUNK, F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size)))
-    )
-    start = F.greatest(F.col("_lo"), F.col(CHUNK) * size)
-    end = F.least(F.col("_hi"), (F.col(CHUNK) + 1) * size - 1)
-    expected = chunks.select(*keys, CHUNK, F.explode(F.sequence(start, end)).alias("_step"))
-    lacking = expected.join(actual.withColumn(CHUNK, chunk), [*keys, CHUNK, "_step"], "left_anti")
+    marked = (
+        df.where(F.col(time).isNotNull())
+        .groupBy(*keys, bucket.alias("_bucket"))
+        .agg(F.bitmap_construct_agg(place).alias("_map"), F.min(steps).alias("_a"), F.max(steps).alias("_b"))
+    )
+    span = marked.groupBy(*keys).agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi"))
+    buckets = F.sequence(F.floor(F.col("_lo") / BITS), F.floor(F.col("_hi") / BITS))
+    expected = span.withColumn("_bucket", F.explode(buckets)).withColumns(
+        {
+            "_from": F.greatest(F.col("_lo"), F.col("_bucket") * BITS),
+            "_to": F.least(F.col("_hi"), (F.col("_bucket") + 1) * BITS - 1),
+        }
+    )
+    same = [F.col(f"e.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in [*keys, "_bucket"]]
+    lacking = (
+        expected.alias("e")
+        .join(marked.alias("m"), same, "left")
+        .where("_map IS NULL OR bitmap_count(_map) <= _to - _from")
+        .select(*[F.col(f"e.`{c}`") for c in keys], "_map", F.explode(F.sequence("_from", "_to")).alias("_step"))
+        .withColumn("_place", F.expr(f"int(pmod(_step, {BITS}))"))
+        .withColumn("_byte", F.expr("int(conv(hex(substring(_map, _place DIV 8 + 1, 1)), 16, 10))"))
+        .where("_map IS NULL OR shiftright(_byte, _place % 8) % 2 = 0")
+    )
     if grid.step == "day":
         value = F.date_from_unix_date(F.col("_step").cast("int"))
     else:
@@ -142,8 +182,7 @@ def require_complete(df: DataFrame, columns, keys=KEYS) -> DataFrame:
 def range_report(df: DataFrame, columns=None, keys=KEYS) -> DataFrame:
     """Negative count, minimum, median and maximum per series and numeric column.
 
-    The exact median keeps one entry per distinct value, and measures come with
-    a fixed number of decimals.
+    The median is exact and its state bounded, whatever a series holds (``quantiles``).
     """
     numeric = [
         f.name
@@ -151,19 +190,15 @@ def range_report(df: DataFrame, columns=None, keys=KEYS) -> DataFrame:
         if isinstance(f.dataType, T.NumericType) and f.name not in keys
     ]
     columns = numeric if columns is None else [c for c in columns if c in numeric]
-    stats = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count_if(F.col(c) < 0).alias("negative"),
-                F.min(F.col(c).cast("double")).alias("min"),
-                F.percentile(F.col(c), F.lit(0.5)).alias("median"),
-                F.max(F.col(c).cast("double")).alias("max"),
-            )
-            for c in columns
-        ]
+    values = long_values(df, columns, keys)
+    value = F.col(VALUE)
+    stats = [F.count_if(value < 0).alias("negative"), F.min(value).alias("min"), F.max(value).alias("max")]
+    sketches = sketched(values, *stats, keys=keys)
+    medians = exact_quantiles(values, sketches, [0.5], keys)
+    same = [F.col(f"s.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in [*keys, "column"]]
+    return sketches.alias("s").join(medians.alias("m"), same).select(
+        *[F.col(f"s.`{c}`") for c in [*keys, "column"]], "negative", "min", F.col("quantiles")[0].alias("median"), "max"
     )
-    return df.groupBy(*keys).agg(stats.alias("_stats")).select(*keys, F.inline("_stats"))
 
 
 def _product_facts(df: DataFrame, keys, name: str) -> DataFrame:
@@ -177,24 +212,24 @@ def _product_facts(df: DataFrame, keys, name: str) -> DataFrame:
     requested = (
         F.max("requested_end") if "requested_end" in df.columns else F.to_date(F.max(TIME))
     )
-    report = cadence_report(df, HOURLY_GRID, keys).select(
-        *keys, "n_rows", "first", "last", "complete"
-    )
-    facts = df.groupBy(*keys).agg(
-        F.sum(nulls).alias("missing_cells"),
-        F.every(source_ok).alias("source_ok"),
-        requested.alias("requested_end"),
-    )
-    return report.join(facts, list(keys)).withColumns(
+    facts = {
+        "missing_cells": (F.sum(nulls), F.sum),
+        "source_ok": (F.every(source_ok), F.every),
+        "requested_end": (requested, F.max),
+    }
+    report = cadence_report(df, HOURLY_GRID, keys, facts)
+    return report.select(*keys, "n_rows", "first", "last", "complete", *facts).withColumns(
         {"product": F.lit(name), "n_columns": F.lit(len(columns))}
     )
 
 
-def raw_contract_check(air: DataFrame, weather: DataFrame, start, keys=KEYS) -> DataFrame:
-    """PASS or REVIEW per series: start, common end, requested end, source labels
-    (the contract), then no duplicates, gaps or missing cells (the verdict)."""
-    a = _product_facts(air, keys, "aqi_training").alias("a")
-    w = _product_facts(weather, keys, "weather_features").alias("w")
+def _checked_products(air: DataFrame, weather: DataFrame, start, keys) -> DataFrame:
+    """Facts of both products of a series as ``a`` and ``w``, the contract and whether all is clean."""
+
+    def facts(df: DataFrame, product: str, name: str) -> DataFrame:
+        rows = _product_facts(df, keys, product)
+        return rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias(name))
+
     begin = F.lit(start).cast("timestamp_ntz")
     contract = (
         (F.col("a.first") == begin)
@@ -211,32 +246,41 @@ def raw_contract_check(air: DataFrame, weather: DataFrame, start, keys=KEYS) ->
         & (F.col("a.missing_cells") == 0)
         & (F.col("w.missing_cells") == 0)
     )
+    both = facts(air, "aqi_training", "a").join(facts(weather, "weather_features", "w"), list(keys))
+    return both.withColumn("contract", F.coalesce(contract, F.lit(False))).withColumn(
+        "clean", F.coalesce(clean, F.lit(False))
+    )
+
+
+def raw_contract_check(air: DataFrame, weather: DataFrame, start, keys=KEYS) -> DataFrame:
+    """PASS or REVIEW per series: start, common end, requested end, source labels
+    (the contract), then no duplicates, gaps or missing cells (the verdict)."""
 
     def verdict(ok):
         return F.when(ok, "PASS").otherwise("REVIEW")
 
-    return a.join(w, [F.col(f"a.{k}") == F.col(f"w.{k}") for k in keys]).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys],
-        verdict(contract).alias("contract"),
-        verdict(contract & clean).alias("verdict"),
+    checked = _checked_products(air, weather, start, keys)
+    return checked.select(
+        *keys,
+        verdict(F.col("contract")).alias("contract"),
+        verdict(F.col("contract") & F.col("clean")).alias("verdict"),
     )
 
 
 def qc_summary(air: DataFrame, weather: DataFrame, start, keys=KEYS) -> DataFrame:
-    """Rows, columns, span, missing cells and contract per series and product."""
-    check = raw_contract_check(air, weather, start, keys)
-    facts = _product_facts(air, keys, "aqi_training").unionByName(
-        _product_facts(weather, keys, "weather_features")
+    """Rows, columns, span, missing cells and contract per series and product; reads each product once."""
+    rows = _checked_products(air, weather, start, keys).select(
+        *keys, "contract", F.explode(F.array("a", "w")).alias("p")
     )
-    return facts.join(check, list(keys)).select(
+    return rows.select(
         *keys,
-        "product",
-        "n_rows",
-        "n_columns",
-        F.col("first").alias("start"),
-        F.col("last").alias("end"),
-        "missing_cells",
-        (F.col("contract") == "PASS").alias("contract_pass"),
+        "p.product",
+        "p.n_rows",
+        "p.n_columns",
+        F.col("p.first").alias("start"),
+        F.col("p.last").alias("end"),
+        "p.missing_cells",
+        F.col("contract").alias("contract_pass"),
     )
 
 

@@ -30,6 +30,18 @@ def subindex_columns(df: DataFrame) -> list[str]:
     return [subindex_name(p) for p in SUBINDEX_ORDER if p in df.columns]
 
 
+def valid_readings(df: DataFrame, on_negative: str = "error") -> DataFrame:
+    """The input, or with ``on_negative="null"`` the input with negative concentrations as missing.
+
+    A missing reading leaves every averaging window and calendar day it lies in without an index.
+    """
+    if on_negative not in ("error", "null"):
+        raise ValueError("on_negative is 'error' or 'null'")
+    if on_negative == "error":
+        return df
+    return df.withColumns({p: F.expr(f"CASE WHEN {p} >= 0 THEN {p} END") for p in present(df, SUBINDEX_ORDER)})
+
+
 def add_subindices(chunked: Chunked) -> DataFrame:
     """Add a sub-index column for every pollutant the chunked table has; guards the cadence."""
     df = chunked.df
@@ -69,10 +81,15 @@ def add_hourly_aqi(chunked: Chunked) -> DataFrame:
     )
 
 
-def hourly_subindices(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
-    """Per hour the sub-index of each pollutant from its EPA averaging window."""
+def hourly_subindices(
+    df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID, on_negative: str = "error"
+) -> DataFrame:
+    """Per hour the sub-index of each pollutant from its EPA averaging window.
+
+    A negative mean or hourly gas reading fails the job, or with ``on_negative="null"`` negative readings are missing.
+    """
     keep = [*keys, grid.column, *present(df, SUBINDEX_ORDER)]
-    chunked = cut(df.select(*keep), grid, back=AQI_REACH, keys=keys).then(add_subindices)
+    chunked = cut(valid_readings(df.select(*keep), on_negative), grid, back=AQI_REACH, keys=keys).then(add_subindices)
     return chunked.result().select(*keys, grid.column, *subindex_columns(df))
 
 
@@ -82,9 +99,11 @@ def with_hourly_aqi(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataF
     return chunked.result().drop(*subindex_columns(df))
 
 
-def describe_hourly_aqi(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
+def describe_hourly_aqi(
+    df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID, on_negative: str = "error"
+) -> DataFrame:
     """Hourly AQI with its category and dominant pollutant."""
-    indices = hourly_subindices(df, keys, grid)
+    indices = hourly_subindices(df, keys, grid, on_negative)
     columns = subindex_columns(df)
     return indices.select(
         *keys,
@@ -123,7 +142,9 @@ def finish_daily(daily: DataFrame, pollutants: list[str]) -> DataFrame:
     )
 
 
-def daily_aqi(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
+def daily_aqi(
+    df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID, on_negative: str = "error"
+) -> DataFrame:
     """Daily AQI per series.
 
     Gases take the day's largest hourly sub-index, particles the index of the
@@ -131,7 +152,7 @@ def daily_aqi(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
     daily aggregate reuses the exchange of the hourly windows.
     """
     pollutants = present(df, SUBINDEX_ORDER)
-    keep = df.select(*keys, grid.column, *pollutants)
+    keep = valid_readings(df.select(*keys, grid.column, *pollutants), on_negative)
     hourly = cut(keep, grid, back=AQI_REACH, keys=keys).then(add_subindices).own_rows()
     daily = hourly.groupBy(*keys, CHUNK, F.to_date(grid.column).alias(DATE)).agg(
         *daily_aggregates(pollutants)
@@ -148,11 +169,11 @@ def last_rows(df: DataFrame, rows: int, keys=KEYS, time: str = TIME) -> DataFram
     return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= rows).drop("_rank")
 
 
-def _latest_with_indices(df: DataFrame, keys, extra: list[str]) -> DataFrame:
+def _latest_with_indices(df: DataFrame, keys, extra: list[str], on_negative: str) -> DataFrame:
     """Latest row per series with its sub-indices, from the rows its windows need."""
     pollutants = present(df, SUBINDEX_ORDER)
     keep = df.select(*dict.fromkeys([*keys, TIME, *pollutants, *extra]))
-    tail = last_rows(keep, AQI_REACH + 1, keys)
+    tail = valid_readings(last_rows(keep, AQI_REACH + 1, keys), on_negative)
     # At most 24 rows per series remain, so no chunking is needed.
     whole = Chunked(tail.withColumn(CHUNK, F.lit(0)), HOURLY_GRID, tuple(keys))
     return last_rows(whole.then(add_subindices).df.drop(CHUNK), 1, keys)
@@ -165,11 +186,11 @@ def _concentration(pollutants: list[str]):
     return F.bround(value, 1)
 
 
-def current_aqi(df: DataFrame, keys=KEYS) -> DataFrame:
+def current_aqi(df: DataFrame, keys=KEYS, on_negative: str = "error") -> DataFrame:
     """AQI, category, dominant pollutant and its concentration at each series' last hour."""
     pollutants = present(df, SUBINDEX_ORDER)
     columns = [subindex_name(p) for p in pollutants]
-    latest = _latest_with_indices(df, keys, [])
+    latest = _latest_with_indices(df, keys, [], on_negative)
     aqi = greatest_of(columns)
     return latest.withColumn(
         "main_pollutant", F.coalesce(dominant_pollutant(columns), F.lit("pm2_5"))
@@ -186,12 +207,12 @@ def current_aqi(df: DataFrame, keys=KEYS) -> DataFrame:
 CONDITION_COLUMNS = ("temperature_2m", "relative_humidity_2m", "wind_speed_10m")
 
 
-def current_conditions(df: DataFrame, keys=KEYS) -> DataFrame:
+def current_conditions(df: DataFrame, keys=KEYS, on_negative: str = "error") -> DataFrame:
     """Latest weather readings with the dominant pollutant and its concentration."""
     pollutants = present(df, SUBINDEX_ORDER)
     columns = [subindex_name(p) for p in pollutants]
     readings = present(df, CONDITION_COLUMNS)
-    latest = _latest_with_indices(df, keys, readings)
+    latest = _latest_with_indices(df, keys, readings, on_negative)
     return latest.withColumn(
         "main_pollutant", F.coalesce(dominant_pollutant(columns), F.lit("pm2_5"))
     ).select(

@@ -138,6 +138,10 @@ def _tree_cells(rows: DataFrame, nodes: DataFrame, features, keep) -> DataFrame:
     return both.selectExpr(*keep, "'xgboost' AS model", index, f"_y[{index}] AS y", "yhat")
 
 
+# Hours a forecast is made from.
+WINDOW_HOURS = 168
+
+
 def _table(df: DataFrame, root: str, name: str) -> DataFrame:
     """Write a result and go on from the written table."""
     path = f"{root}/results/{name}"
@@ -235,7 +239,11 @@ def register_daily_job(
 
 def latest_features(hourly: DataFrame, as_of, fresh: DataFrame | None = None) -> DataFrame:
     """Features of the last hour of every series up to ``as_of``."""
-    window = latest_window(hourly, as_of, fresh=fresh)
+    return window_features(latest_window(hourly, as_of, fresh=fresh))
+
+
+def window_features(window: DataFrame) -> DataFrame:
+    """Features of the last hour of every series in a window."""
     return last_rows(hourly_training_frame(window, include_targets=False), 1)
 
 
@@ -270,14 +278,16 @@ def forecast_job(
 ) -> DataFrame:
     """Forecast documents of all series with a champion, written below ``root``.
 
-    The champion's own coefficients or trees forecast; a rejected challenger changes nothing.
+    The champion's own coefficients or trees forecast; a rejected challenger changes nothing. One window, read
+    from the years that hold it, serves the forecast and the current AQI.
     """
-    hourly = store.get_hourly_raw(spark, root)
+    hourly = store.read_latest(spark, root, "hourly_raw", as_of, WINDOW_HOURS)
+    window = _table(latest_window(hourly, as_of, WINDOW_HOURS, fresh=fresh), root, "window")
     models = registry.champion_coefficients(spark, root).drop("name", "version", "run")
-    latest = _table(latest_features(hourly, as_of, fresh), root, "latest")
+    latest = _table(window_features(window), root, "latest")
     forecast = forecast_with(latest, models, registry.champion_trees(spark, root), present(hourly, BASE_COLUMNS))
     forecast = _table(forecast, root, "forecast")
-    current = current_aqi(latest_window(hourly, as_of, fresh=fresh))
+    current = current_aqi(window)
     documents = products.forecast_document(forecast, current, reference, as_of, registry.HOURLY_MODEL)
     products.write_documents(documents, f"{root}/forecast")
     return documents

@@ -28,6 +28,7 @@ from hazeline.schema import (
     daily_feature_columns,
     hourly_feature_columns,
 )
+from hazeline.session import shared_folder
 from hazeline.sources.files import read_if_present
 
 SCHEMA_VERSION = 1
@@ -154,6 +155,32 @@ def time_slice(df: DataFrame, start=None, end=None) -> DataFrame:
     return df
 
 
+def read_latest(
+    spark: SparkSession, root: str, table: str, as_of, rows: int, keys=KEYS
+) -> DataFrame:
+    """Rows of the days that hold the last ``rows`` rows of each series up to ``as_of``.
+
+    A first pass counts rows a day from keys and time alone, and gives each series the day its rows begin.
+    The second reads whole rows from the earliest of these days on, so years and row groups on either side
+    are skipped, and of each series no more than its own days.
+    """
+    stored = read_feature_table(spark, root, table, end=as_of)
+    time = time_column(stored)
+    days = stored.groupBy(*keys, F.to_date(time).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
+    newer = Window.partitionBy(*keys).orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    held = days.withColumn("_newer", F.coalesce(F.sum("_rows").over(newer), F.lit(0))).where(F.col("_newer") < rows)
+    path = shared_folder(spark, "starts")
+    starts = held.groupBy(*keys).agg(F.min("_day").alias("_from"))
+    starts.write.parquet(path)
+    starts = spark.read.schema(starts.schema).parquet(path)
+    first = starts.agg(F.min("_from")).first()[0]
+    recent = read_feature_table(spark, root, table, start=first, end=as_of)
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
+    return recent.alias("r").join(
+        starts.alias("s"), [*same, F.col(f"r.`{time}`") >= F.col("s._from")]
+    ).select("r.*")
+
+
 def get_hourly_raw(spark, root, start=None, end=None) -> DataFrame:
     return read_feature_table(spark, root, "hourly_raw", start, end)
 

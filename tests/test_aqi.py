@@ -104,6 +104,18 @@ def test_plan_has_one_exchange(hours):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_negative_readings_through_the_operators(hours):
+    df = hours(72, pm2_5=lambda i: -5.0 if i == 30 else 9.0, nitrogen_dioxide=lambda i: -1.0 if i == 71 else 10.0)
+    gone = hours(72, pm2_5=lambda i: None if i == 30 else 9.0, nitrogen_dioxide=lambda i: None if i == 71 else 10.0)
+    for operator in (aqi.hourly_subindices, aqi.describe_hourly_aqi, aqi.daily_aqi, aqi.current_aqi):
+        got, expected = operator(df, on_negative="null"), operator(gone)
+        assert got.exceptAll(expected).count() == 0 == expected.exceptAll(got).count()
+        with pytest.raises(ValueError):
+            operator(df, on_negative="drop")
+    with pytest.raises(Exception, match="negative"):
+        aqi.hourly_subindices(df).collect()
+
+
 def test_nan_is_missing(spark):
     from hazeline.functions.common import nan_to_null
 

@@ -160,3 +160,16 @@ def test_predict_and_attribution(hours):
     with pytest.raises(ValueError, match="lack trained"):
         ridge.predict(df.drop("x1"), models, names)
     assert len(OUTPUTS) == 30
+
+
+def test_ridge_sums_are_shuffled_once_a_block(hours):
+    """A series sends one row a block and task, with the sums a fit reads, where it sent a row a column."""
+    df, names, targets = regression_rows(hours)[2], ["x0", "x1", "x2"], ["y0", "y1"]
+    plan = ridge.FitPlan(gap=2, whole=True)
+    parts, _ = ridge.gram_blocks(df, names, targets, plan, True)
+    held = parts.collect()
+    bounds = {b for b in plan.bounds(df.count(), int) if 0 < b < df.count()}
+    assert len(held) <= len(bounds) + 1 + parts.rdd.getNumPartitions()
+    wide = len(names) + 1
+    assert {len(r["g"]) for r in held} == {8 * (wide * (wide + 1) // 2 + wide * len(targets) + len(targets))}
+    assert sum(r["hi"] - r["lo"] + 1 for r in held) == df.count()

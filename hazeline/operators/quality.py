@@ -8,8 +8,9 @@ from pyspark.sql import types as T
 
 from hazeline.functions.common import any_null, hour_floor
 from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, Grid
-from hazeline.operators.quantiles import VALUE, exact_quantiles, long_values, sketched
+from hazeline.operators.quantiles import ROWS, measures, quantiles_by_size
 from hazeline.schema import KEYS, PROVIDER, TIME
+from hazeline.session import stored
 
 
 def _unpivot(df: DataFrame, keys, columns, name: str, value: str) -> DataFrame:
@@ -182,7 +183,8 @@ def require_complete(df: DataFrame, columns, keys=KEYS) -> DataFrame:
 def range_report(df: DataFrame, columns=None, keys=KEYS) -> DataFrame:
     """Negative count, minimum, median and maximum per series and numeric column.
 
-    The median is exact and its state bounded, whatever a series holds (``quantiles``).
+    The median is exact and its state bounded, whatever a series holds (``quantiles``). The values are stored first,
+    as counts decide which series are sorted and which need rounds.
     """
     numeric = [
         f.name
@@ -190,13 +192,22 @@ def range_report(df: DataFrame, columns=None, keys=KEYS) -> DataFrame:
         if isinstance(f.dataType, T.NumericType) and f.name not in keys
     ]
     columns = numeric if columns is None else [c for c in columns if c in numeric]
-    values = long_values(df, columns, keys)
-    value = F.col(VALUE)
-    stats = [F.count_if(value < 0).alias("negative"), F.min(value).alias("min"), F.max(value).alias("max")]
-    sketches = sketched(values, *stats, keys=keys)
-    medians = exact_quantiles(values, sketches, [0.5], keys)
+    values = stored(measures(df, columns, keys), "ranges")
+    stats = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count_if(F.col(f"`{c}`") < 0).alias("negative"),
+            F.min(f"`{c}`").alias("min"),
+            F.max(f"`{c}`").alias("max"),
+        )
+        for c in columns
+    ]
+    rows = F.count(F.lit(1)).alias(ROWS)
+    facts = stored(values.groupBy(*keys).agg(rows, F.array(*stats).alias("_facts")), "ranges")
+    medians = quantiles_by_size(values, facts.select(*keys, ROWS), columns, [0.5], keys)
+    long = facts.select(*keys, F.inline("_facts"))
     same = [F.col(f"s.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in [*keys, "column"]]
-    return sketches.alias("s").join(medians.alias("m"), same).select(
+    return long.alias("s").join(medians.alias("m"), same).select(
         *[F.col(f"s.`{c}`") for c in [*keys, "column"]], "negative", "min", F.col("quantiles")[0].alias("median"), "max"
     )
 

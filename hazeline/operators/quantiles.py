@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hazeline.schema import KEYS
 from hazeline.session import shared_folder
 
-COLUMN, VALUE = "column", "_value"
+COLUMN, VALUE, ROWS = "column", "_value", "_rows"
 # Ranks at which a sketch is read; its own error is a fraction of one step.
 GRID = 256
 SKETCH = 2048
@@ -32,6 +32,11 @@ def long_values(df: DataFrame, columns, keys=KEYS) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*pairs)))
 
 
+def measures(df: DataFrame, columns, keys=KEYS) -> DataFrame:
+    """Keys and columns as doubles; null and NaN are both missing."""
+    return df.select(*keys, *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(c) for c in columns])
+
+
 def _sketch(condition: str | None = None) -> Column:
     only = f" FILTER (WHERE {condition})" if condition else ""
     return F.expr(f"kll_sketch_agg_double({VALUE}, {SKETCH}){only}")
@@ -134,3 +139,38 @@ def exact_quantiles(values: DataFrame, sketches: DataFrame, shares, keys=KEYS) -
     one = sized.join(ends, same, "left").withColumn("q", between)
     quantiles = [F.max(F.when(F.col("share") == float(s), F.col("q"))) for s in shares]
     return one.groupBy(*[F.col(f"_{c}").alias(c) for c in on]).agg(F.array(*quantiles).alias("quantiles"))
+
+
+def _sorted_quantiles(values: DataFrame, columns, shares, keys) -> DataFrame:
+    """(keys, column, quantiles) of series with few rows, from their sorted values."""
+    held = values.groupBy(*keys).agg(*[F.sort_array(F.collect_list(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(columns)])
+
+    def at(array: str, share: float) -> str:
+        place = f"((size({array}) - 1) * {share!r}D)"
+        low, high = (f"{array}[int({end}({place}))]" for end in ("floor", "ceil"))
+        between = f"(ceil({place}) - {place}) * {low} + ({place} - floor({place})) * {high}"
+        return f"CASE WHEN size({array}) > 0 THEN CASE WHEN {low} = {high} THEN {low} ELSE {between} END END"
+
+    entries = [
+        F.struct(F.lit(c).alias(COLUMN), F.array(*[F.expr(at(f"_v{i}", s)) for s in shares]).alias("quantiles"))
+        for i, c in enumerate(columns)
+    ]
+    return held.select(*keys, F.inline(F.array(*entries)))
+
+
+def quantiles_by_size(values: DataFrame, sizes: DataFrame, columns, shares, keys=KEYS) -> DataFrame:
+    """(keys, column, quantiles): of series with up to FEW rows from their sorted values, of others by sketches.
+
+    ``values`` comes from :func:`measures` and ``sizes`` has the rows of each series; both are read several times
+    and should be stored.
+    """
+    shares = [float(s) for s in shares]
+    large = sizes.where(F.col(ROWS) > FEW).select(*keys)
+    if large.isEmpty():
+        return _sorted_quantiles(values, columns, shares, keys)
+    same = [F.col(f"v.`{k}`").eqNullSafe(F.col(f"l.`{k}`")) for k in keys]
+    few = values.alias("v").join(large.alias("l"), same, "left_anti")
+    many = long_values(values.alias("v").join(large.alias("l"), same, "left_semi"), columns, keys)
+    return _sorted_quantiles(few, columns, shares, keys).unionByName(
+        exact_quantiles(many, sketched(many, keys=keys), shares, keys)
+    )

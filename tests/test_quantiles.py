@@ -52,3 +52,26 @@ def test_empty_and_report(spark):
     assert told == {} == expected
     got = {r["series_id"]: tuple(r)[1:] for r in range_report(df).collect()}
     assert got == {"a": ("v", 1, -2.0, -0.5, 1.0), "b": ("v", 0, None, None, None)}
+
+
+def test_few_rows_need_no_sketch(spark, monkeypatch):
+    """Short series are sorted; only those with more rows are sketched, and both give what percentile gives."""
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    draw, sketches = random.Random(7), []
+    real = quantiles.sketched
+    monkeypatch.setattr(quantiles, "sketched", lambda values, **more: sketches.append(values) or real(values, **more))
+    rows = [(f"s{i % 40}", draw.gauss(0, 9), float(draw.randrange(4)) if i % 3 else None) for i in range(1000)]
+    rows += [(None, 1.5, -1.0), (None, 2.0, float("nan")), ("none", None, None)]
+    short = spark.createDataFrame(rows, "series_id string, a double, b double")
+
+    def check(df):
+        plain = long_values(df, ["a", "b"]).groupBy("series_id", "column").agg(
+            F.count_if(F.col("_value") < 0), F.min("_value"), F.percentile("_value", F.lit(0.5)), F.max("_value")
+        )
+        assert {tuple(r) for r in range_report(df).collect()} == {tuple(r) for r in plain.collect()}
+
+    check(short)
+    assert not sketches
+    long = spark.createDataFrame([("long", draw.gauss(5, 2), float(i % 3)) for i in range(400)], short.schema)
+    check(short.unionByName(long))
+    assert [r[0] for r in sketches[0].select("series_id").distinct().collect()] == ["long"]

@@ -10,13 +10,14 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 #: Words remembered per worker process, and the longest one worth remembering. Where there are more, those met first stay,
 #: as frequent words are met early, and room is made for a fifth.
 REMEMBERED, LONGEST = 700_000, 64
-#: Texts whose new words are looked up together.
-SLICE = 384
+#: Words with marks or digits, of which there is no end, that are remembered for a while.
+BRIEF = 60_000
 #: A space or none, Latin letters, ASCII punctuation without the apostrophe or none: pre-tokens under either tokenizer.
 WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: A space that white space neither precedes nor follows always begins a pre-token.
@@ -30,6 +31,17 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+class Words(dict):
+    """Words and their ids; a missing one is learned when it is looked up."""
+
+    def __init__(self, meet: Callable[[str], bytes | None]):
+        super().__init__()
+        self.meet = meet
+
+    def __missing__(self, x: str) -> bytes | None:
+        return self.meet(x)
+
+
 class Encoder:
     """``spaced``: a space belongs to the pre-token after it (byte-level BPE); else white space is dropped.
 
@@ -46,7 +58,8 @@ class Encoder:
         self.spaced = spaced
         self.width = 2 if narrow and max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
         self.signs: dict[str, bytes] = {}
-        self.known: dict[str, bytes | None] = {}  # words after a lone space; None: white space at an end
+        self.known = Words(self._meet)  # words after a lone space; None: white space at an end
+        self.brief: list[str] = []
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -86,38 +99,43 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        for i in range(0, len(texts), SLICE):
-            some = texts[i : i + SLICE]
-            if len(self.known) > REMEMBERED:
-                for x in list(self.known)[REMEMBERED * 4 // 5 :]:
-                    del self.known[x]
-            words = [x.split(" ") if self.spaced else x.replace("\n", " ").split(" ") for x in some]
-            brief = self._meet(set().union(*words).difference(self.known))
-            yield from map(self._joined, some, words)
-            for x in brief:
-                del self.known[x]
+        for text in texts:
+            if len(self.brief) > BRIEF or len(self.known) > REMEMBERED + BRIEF:
+                self._forget()
+            yield self._joined(text, text.split(" ") if self.spaced else text.replace("\n", " ").split(" "))
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
-    def _meet(self, words: set[str]) -> list[str]:
-        """Learn words that follow a lone space; return those to be forgotten: all but plain ones."""
-        brief, known = [], self.known
-        for x in words:
-            stem = x.rstrip(MARKS)
-            # Lower case may end in a mark of its own, which the library joins with those that follow.
-            if len(stem) < len(x) and (stem if self.spaced else stem.lower())[-1:].isalnum() and known.get(stem) is not None:
-                brief.append(x)
-                known[x] = known[stem] + self.marks(x[len(stem) :])
-            elif not x or self.spaced and (x[0].isspace() or x[-1].isspace()):
-                brief.append(x)
-                self.known[x] = None if self.spaced else b""
-            elif not x.isalpha() or len(x) > LONGEST:
-                brief.append(x)
-                self.known[x] = self.learn(" " + x if self.spaced else x)
-            elif x not in self.known:  # else met as a part of another
-                self.known[x] = self.learn(" " + x if self.spaced else x)
-        return brief
+    def _forget(self) -> None:
+        """Drop words met with marks, and where too many are left, those met last."""
+        known = self.known
+        for x in self.brief:
+            del known[x]
+        self.brief.clear()
+        if len(known) > REMEMBERED:
+            for x in list(known)[REMEMBERED * 4 // 5 :]:
+                del known[x]
+
+    def _meet(self, x: str) -> bytes | None:
+        """Learn a word that follows a lone space; all but plain ones are to be forgotten soon."""
+        known, stem = self.known, x.rstrip(MARKS)
+        if len(x) > LONGEST:
+            # Kept for its text alone, however long it is.
+            return None if self.spaced and (x[0].isspace() or x[-1].isspace()) else self.learn(" " + x if self.spaced else x)
+        # Lower case may end in a mark of its own, which the library joins with those that follow.
+        if len(stem) < len(x) and (stem if self.spaced else stem.lower())[-1:].isalnum() and known.get(stem) is not None:
+            ids = known[stem] + self.marks(x[len(stem) :])
+        elif not x or self.spaced and (x[0].isspace() or x[-1].isspace()):
+            ids = None if self.spaced else b""
+        else:
+            ids = self.learn(" " + x if self.spaced else x)
+            if x.isalpha():
+                known[x] = ids
+                return ids
+        known[x] = ids
+        self.brief.append(x)
+        return ids
 
     def _joined(self, text: str, words: list[str]) -> bytes:
         first, rest = words[0], words[1:] if self.spaced else words
@@ -146,3 +164,9 @@ def worker_encoder(path: str, spaced: bool, narrow: bool = False) -> Encoder:
         held.clear()
         held[path, spaced, narrow] = Encoder(path, spaced, narrow)
     return held[path, spaced, narrow]
+
+
+def release_encoders() -> None:
+    """Let go of the words this worker remembers, in a step that needs its memory for something else."""
+    if tokenizers := sys.modules.get("tokenizers"):
+        tokenizers.__dict__.pop("_encoders", None)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazeline.llm.common import utf8, whole_row
+from hazeline.llm.encoding import release_encoders
 
 SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_BYTES = 96, 6_000, 24_000
 BLOCK = 512
@@ -204,6 +205,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.tables, model.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()  # before the tables are loaded: a worker that packed texts may serve this step, too
         fitted = Model(*shared.value)
         for batch in batches:
             found = fitted.predict(batch.column("utf8").to_pylist())

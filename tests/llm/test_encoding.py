@@ -41,3 +41,26 @@ def test_one_id_of_a_store(spark):
             token_store.token_at(spark, path, doc_id, len(ids))
     with pytest.raises(LookupError):
         token_store.token_at(spark, path, 4, 0)
+
+
+def test_words_with_marks_are_remembered_over_texts(monkeypatch):
+    """A word met in one text isn't learned again for the next, and what is kept stays bounded."""
+    monkeypatch.setattr(encoding, "BRIEF", 20)
+    warm = encoding.Encoder(queries.tokenizer("byte_bpe_50k.json"), True)
+    met, real = [], warm.learn
+    monkeypatch.setattr(warm, "learn", lambda x: met.append(x) or real(x))
+    for _ in warm.encode_all(["one x2, (three) and four"] * 1000):
+        pass
+    assert met.count(" x2,") == 1 and met.count(" (three)") == 1
+    list(warm.encode_all([f"one x{i}, y{i}" for i in range(200)]))
+    assert len(warm.brief) <= 22 and set(warm.brief) <= set(warm.known)
+
+
+def test_encoder_is_released():
+    path = queries.tokenizer("word_bpe_49k.json")
+    kept = encoding.worker_encoder(path, False)
+    assert encoding.worker_encoder(path, False) is kept
+    encoding.release_encoders()
+    assert encoding.worker_encoder(path, False) is not kept
+    encoding.release_encoders()
+    encoding.release_encoders()

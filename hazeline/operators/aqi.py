@@ -14,7 +14,7 @@ from hazeline.functions.aqi import (
     with_subindices,
 )
 from hazeline.functions.common import greatest_of, present, snap_sql
-from hazeline.operators.chunks import CHUNK, HOURLY_GRID, Chunked, Grid, cut, sums_name
+from hazeline.operators.chunks import CHUNK, HOURLY_GRID, Chunked, Grid, cut, sums_name, without_offsets
 from hazeline.schema import DAILY_AQI, DATE, HOURLY_AQI, KEYS, TIME
 
 # Rows the longest concentration window looks back.
@@ -51,6 +51,7 @@ def add_subindices(chunked: Chunked) -> DataFrame:
     averaged = [p for p in pollutants if p in AVERAGING_HOURS]
     chunked = chunked.guarded()
     summed = chunked.with_sums(averaged, CONCENTRATION_UNITS)
+    summed = summed.with_offsets({sums_name(p): [-AVERAGING_HOURS[p]] for p in averaged})
     means = {
         f"_mean_{p}": F.expr(
             snap_sql(summed.summed_mean(p, 1 - AVERAGING_HOURS[p], 0, CONCENTRATION_UNITS))
@@ -71,7 +72,7 @@ def add_subindices(chunked: Chunked) -> DataFrame:
     df = with_subindices(df, tables)
     if "ozone" in pollutants:
         df = df.withColumn(subindex_name("ozone"), F.greatest("_index_8h", "_index_1h"))
-    return df.drop(*means, *units, *map(sums_name, averaged), "_index_8h", "_index_1h")
+    return without_offsets(df.drop(*means, *units, *map(sums_name, averaged), "_index_8h", "_index_1h"))
 
 
 def add_hourly_aqi(chunked: Chunked) -> DataFrame:

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazeline.functions.calendar import add_daily_calendar, add_hourly_calendar
 from hazeline.functions.common import any_null, fail_when, hour_floor, hours, present
 from hazeline.operators.aqi import AQI_REACH, add_hourly_aqi, last_rows, subindex_columns
-from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID, Chunked, Grid, cut, sums_name
+from hazeline.operators.chunks import (
+    CHUNK,
+    DAILY_GRID,
+    HOURLY_GRID,
+    Chunked,
+    Grid,
+    cut,
+    sums_name,
+    without_offsets,
+)
 from hazeline.schema import (
     BASE_COLUMNS,
     DAILY_AQI,
@@ -38,15 +49,20 @@ DAILY_LABEL_REACH = max(DAILY_HORIZONS)
 AQI_UNITS = 1e3
 
 
-def with_aqi_sums(chunked: Chunked) -> Chunked:
-    """Running sums of the hourly AQI; a value with more than three decimals fails the job."""
+WINDOW_ENDS = tuple(-k for k in HOURLY_WINDOWS)
+BLOCK_ENDS = tuple(sorted({k for *_, a, b in OUTPUTS if a != b for k in (a - 1, b)}))
+
+
+def with_aqi_sums(chunked: Chunked, ends: Iterable[int]) -> Chunked:
+    """Running sums of the hourly AQI, also at the ends of frames; a value with more than three decimals fails the job."""
     units = F.col(HOURLY_AQI) * AQI_UNITS
     exact = fail_when(
         F.abs(units - F.rint(units)) > 1e-6, "an AQI has more than three decimals", F.col(HOURLY_AQI)
     )
-    return chunked.then(lambda c: c.df.withColumn(HOURLY_AQI, exact)).with_sums(
+    summed = chunked.then(lambda c: c.df.withColumn(HOURLY_AQI, exact)).with_sums(
         [HOURLY_AQI], AQI_UNITS, squares=True
     )
+    return summed.with_offsets({sums_name(HOURLY_AQI): ends})
 
 
 def hourly_lag_roll_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str, Column]:
@@ -72,11 +88,16 @@ def hourly_target_columns(chunked: Chunked, aqi: str = HOURLY_AQI) -> dict[str,
     }
 
 
+def with_daily_lags(chunked: Chunked) -> Chunked:
+    """Look up every lag once that :func:`daily_lag_roll_columns` names."""
+    return chunked.with_offsets({c: range(-DAILY_REACH, 0) for c in (DAILY_AQI, "pm2_5")})
+
+
 def daily_lag_roll_columns(chunked: Chunked) -> dict[str, Column]:
     aqi, pm = DAILY_AQI, "pm2_5"
     columns = {}
     for k in DAILY_LAGS:
-        columns |= {f"{c}_lag{k}": chunked.lag(c, k) for c in (aqi, pm)}
+        columns |= {f"{c}_lag{k}": F.expr(chunked.at(c, -k)) for c in (aqi, pm)}
     for k in DAILY_WINDOWS:
         columns[f"{aqi}_roll_mean{k}"] = chunked.lagged_mean(aqi, k)
         columns[f"{aqi}_roll_std{k}"] = chunked.lagged_std(aqi, k)
@@ -90,9 +111,9 @@ def daily_target_columns(chunked: Chunked, horizons=DAILY_HORIZONS) -> dict[str,
 
 def add_hourly_lag_roll(df: DataFrame, keys=KEYS, grid: Grid = HOURLY_GRID) -> DataFrame:
     """AQI lags of 1 and 24 hours, rolling mean and sample deviation over 6 and 24."""
-    chunked = with_aqi_sums(cut(df, grid, back=HOURLY_LAG_REACH, keys=keys).guarded())
+    chunked = with_aqi_sums(cut(df, grid, back=HOURLY_LAG_REACH, keys=keys).guarded(), WINDOW_ENDS)
     added = chunked.then(lambda c: c.df.withColumns(hourly_lag_roll_columns(c)))
-    return added.result().drop(sums_name(HOURLY_AQI))
+    return without_offsets(added.result().drop(sums_name(HOURLY_AQI)))
 
 
 def hourly_targets(
@@ -104,14 +125,14 @@ def hourly_targets(
     """
     chunked = cut(df.select(*keys, grid.column, aqi), grid, back=1, ahead=LABEL_REACH, keys=keys)
     guarded = chunked.guarded()
-    summed = with_aqi_sums(guarded) if aqi == HOURLY_AQI else guarded
+    summed = with_aqi_sums(guarded, BLOCK_ENDS) if aqi == HOURLY_AQI else guarded
     labelled = summed.then(lambda c: c.df.withColumns(hourly_target_columns(c, aqi)))
     return labelled.result().select(*keys, grid.column, *TARGET_COLUMNS)
 
 
 def add_daily_lag_roll(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> DataFrame:
-    chunked = cut(df, grid, back=DAILY_REACH, keys=keys).guarded()
-    return chunked.then(lambda c: c.df.withColumns(daily_lag_roll_columns(c))).result()
+    chunked = with_daily_lags(cut(df, grid, back=DAILY_REACH, keys=keys).guarded())
+    return without_offsets(chunked.then(lambda c: c.df.withColumns(daily_lag_roll_columns(c))).result())
 
 
 def daily_targets(
@@ -144,7 +165,7 @@ def hourly_training_frame_of(
 
     features = hourly_feature_columns(measures)
     targets = list(TARGET_COLUMNS) if include_targets else []
-    summed = with_aqi_sums(complete)
+    summed = with_aqi_sums(complete, [*WINDOW_ENDS, *BLOCK_ENDS] if include_targets else WINDOW_ENDS)
     frame = add_hourly_calendar(summed.then(window_columns).result(), chunked.grid.column)
     required = [*features, *targets] if drop_unlabelled else features
     return frame.select(*chunked.keys, chunked.grid.column, *features, *targets).dropna(
@@ -172,14 +193,19 @@ def hourly_training_frame(
     return hourly_training_frame_of(chunked, include_targets, drop_unlabelled)
 
 
-def daily_training_frame(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> DataFrame:
-    """Daily AQI, measures, lags, rolling statistics, calendar and three labels."""
+def daily_training_frame(
+    df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID, keep_chunks: bool = False
+) -> DataFrame:
+    """Daily AQI, measures, lags, rolling statistics, calendar and three labels.
+
+    With ``keep_chunks`` rows keep their chunk, for a split that follows at once.
+    """
     if DAILY_AQI not in df.columns:
         raise KeyError(f"the daily table has no {DAILY_AQI!r} column")
     measures = present(df, BASE_COLUMNS)
     keep = df.select(*keys, grid.column, DAILY_AQI, *measures)
     chunked = cut(keep, grid, back=DAILY_REACH, ahead=DAILY_LABEL_REACH, keys=keys)
-    windows = chunked.guarded().then(
+    windows = with_daily_lags(chunked.guarded()).then(
         lambda c: c.df.withColumns(daily_lag_roll_columns(c) | daily_target_columns(c))
     )
     columns = [
@@ -187,8 +213,9 @@ def daily_training_frame(df: DataFrame, keys=KEYS, grid: Grid = DAILY_GRID) -> D
         *daily_feature_columns(measures),
         *[f"target_{h}d" for h in DAILY_HORIZONS],
     ]
-    frame = add_daily_calendar(windows.result(), grid.column)
-    return frame.select(*keys, grid.column, *columns).dropna(subset=columns)
+    frame = add_daily_calendar(windows.result(keep_chunks), grid.column)
+    held = [CHUNK] if keep_chunks else []
+    return frame.select(*keys, grid.column, *held, *columns).dropna(subset=columns)
 
 
 def latest_window(

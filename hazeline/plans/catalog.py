@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -716,18 +716,24 @@ def hourly_observations(spark, sf_dir):
     )
 
 
-STORED: dict[tuple[str, str], str] = {}
+FRAME_COLUMNS = (*SERIES_TIME, *hourly_feature_columns(BASE_COLUMNS), *TARGET_COLUMNS)
+#: Folders of stored frames by their columns, for each application and set of tables.
+STORED: dict[tuple[str, str], dict[tuple[str, ...], str]] = {}
 
 
-def training(spark, sf_dir) -> DataFrame:
-    """The training frame as a stored table: splits and fits read it several times."""
-    place = (spark.sparkContext.applicationId, sf_dir)
-    if place not in STORED:
+def training(spark, sf_dir, columns: Sequence[str] = FRAME_COLUMNS) -> DataFrame:
+    """The training frame as a stored table: splits and fits read it several times.
+
+    Only the ``columns`` a job uses are stored, unless a table that has them already is.
+    """
+    tables = STORED.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    held = next((found for found in tables if set(columns) <= set(found)), None)
+    if held is None:
+        held = tuple(columns)
         folder = shared_folder(spark, "hourly_features")
-        frame = features.hourly_training_frame(data.hourly_master(spark, sf_dir))
-        frame.write.parquet(folder)
-        STORED[place] = folder
-    return spark.read.parquet(STORED[place])
+        features.hourly_training_frame(data.hourly_master(spark, sf_dir)).select(*held).write.parquet(folder)
+        tables[held] = folder
+    return spark.read.parquet(tables[held]).select(*columns)
 
 
 @query(
@@ -781,7 +787,7 @@ def latest_window(spark, sf_dir):
     ),
 )
 def chronological_split_hourly(spark, sf_dir):
-    frame = training(spark, sf_dir).select(*SERIES_TIME, HOURLY_AQI)
+    frame = training(spark, sf_dir, [*SERIES_TIME, HOURLY_AQI])
     return splits.chronological_split(frame)
 
 
@@ -811,12 +817,12 @@ SELECT series_id, time, fold, role FROM (
 
 @query("rolling_origin_folds", sql.shaped(folds_sql("168"), whole=["fold"]))
 def rolling_origin_folds(spark, sf_dir):
-    return splits.rolling_origin_folds(training(spark, sf_dir).select(*SERIES_TIME))
+    return splits.rolling_origin_folds(training(spark, sf_dir, SERIES_TIME))
 
 
 @query("purged_cv_folds", sql.shaped(folds_sql("(n // 4)"), whole=["fold"]))
 def purged_cv_folds(spark, sf_dir):
-    return splits.purged_cv_folds(training(spark, sf_dir).select(*SERIES_TIME))
+    return splits.purged_cv_folds(training(spark, sf_dir, SERIES_TIME))
 
 
 PERSISTENCE = [baselines.prediction("persistence", o) for o in TARGET_COLUMNS]
@@ -830,7 +836,8 @@ SEASONAL = [baselines.prediction("seasonal_persistence", o) for o in TARGET_COLU
     ),
 )
 def persistence_forecast(spark, sf_dir):
-    return baselines.persistence_forecast(training(spark, sf_dir)).select(*SERIES_TIME, *PERSISTENCE)
+    frame = training(spark, sf_dir, [*SERIES_TIME, HOURLY_AQI])
+    return baselines.persistence_forecast(frame).select(*SERIES_TIME, *PERSISTENCE)
 
 
 @query(
@@ -838,7 +845,7 @@ def persistence_forecast(spark, sf_dir):
     sql.shaped(f"SELECT series_id, time, {sql.columns(SEASONAL)} FROM forecasts", floats=SEASONAL),
 )
 def seasonal_persistence_forecast(spark, sf_dir):
-    frame = training(spark, sf_dir).select(*SERIES_TIME, HOURLY_AQI)
+    frame = training(spark, sf_dir, [*SERIES_TIME, HOURLY_AQI])
     return baselines.seasonal_persistence_forecast(frame).select(*SERIES_TIME, *SEASONAL)
 
 

@@ -17,7 +17,7 @@ from hazeline.functions.calendar import (
 )
 from hazeline.functions.common import double
 from hazeline.operators import aqi, baselines, evaluation, features, merge, quality, splits, summary
-from hazeline.operators.chunks import DAILY_GRID, HOURLY_GRID
+from hazeline.operators.chunks import CHUNK, DAILY_GRID, HOURLY_GRID
 from hazeline.plans import oracle as sql
 from hazeline.plans import testbed as data
 from hazeline.schema import (
@@ -802,8 +802,8 @@ def chronological_split_hourly(spark, sf_dir):
     ),
 )
 def chronological_split_daily(spark, sf_dir):
-    frame = features.daily_training_frame(data.daily_series(spark, sf_dir))
-    return splits.chronological_split(frame.select("series_id", DATE, DAILY_AQI), grid=DAILY_GRID)
+    frame = features.daily_training_frame(data.daily_series(spark, sf_dir), keep_chunks=True)
+    return splits.chronological_split(frame.select("series_id", DATE, CHUNK, DAILY_AQI), grid=DAILY_GRID)
 
 
 def folds_sql(size: str) -> str:
@@ -961,9 +961,9 @@ def select_model_by_group(spark, sf_dir):
 
 def daily_persistence(spark, sf_dir) -> DataFrame:
     """Daily holdout scores of persistence per horizon."""
-    frame = features.daily_training_frame(data.daily_series(spark, sf_dir))
+    frame = features.daily_training_frame(data.daily_series(spark, sf_dir), keep_chunks=True)
     split = splits.chronological_split(
-        frame.select("series_id", DATE, DAILY_AQI, *sql.DAILY_TARGETS), grid=DAILY_GRID
+        frame.select("series_id", DATE, CHUNK, DAILY_AQI, *sql.DAILY_TARGETS), grid=DAILY_GRID
     ).where(F.col("split") == "test")
     cells = split.select(
         "series_id",

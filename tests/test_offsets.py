@@ -1,4 +1,4 @@
-"""Offsets looked up once, narrow stored frames."""
+"""Offsets looked up once, narrow stored frames, positions without another exchange."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from hazeline.operators import features
+from hazeline.operators import features, splits
+from hazeline.operators.chunks import CHUNK, DAILY_GRID
 from hazeline.plans import catalog
 
 
@@ -38,6 +39,23 @@ def test_daily_frame_looks_an_offset_up_once(spark):
     assert len(found) > 15 and set(found.values()) == {1}
 
 
+def test_split_of_rows_that_keep_their_chunk(spark):
+    """Rows were sent and sorted a second time for their positions."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        daily = days(spark, 2500)
+        plain = splits.chronological_split(features.daily_training_frame(daily).select("series_id", "date", "aqi_us_epa"), grid=DAILY_GRID)
+        frame = features.daily_training_frame(daily, keep_chunks=True).select("series_id", "date", CHUNK, "aqi_us_epa")
+        kept = splits.chronological_split(frame, grid=DAILY_GRID)
+        assert kept.columns == plain.columns and sorted(kept.collect()) == sorted(plain.collect())
+        assert frame.select(CHUNK).distinct().count() > 1
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (plain, kept)]
+        assert plans[0].count("row_number()") == plans[1].count("row_number()")
+        assert plans[1].count("Exchange hashpartitioning") < plans[0].count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_folds_store_the_columns_they_use(spark, tmp_path):
     begin = datetime(2024, 1, 1)
     rows = [(u, begin + timedelta(hours=7 * i), float(i % 9)) for u in (1, 2) for i in range(90)]

@@ -163,34 +163,41 @@ def united(rows: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
 
 def enough(hit: np.ndarray) -> np.ndarray:
     """Whether each stretch of SPAN tokens has enough hits, by its first."""
-    sums = np.concatenate([[0], np.cumsum(hit)])
+    sums = np.zeros(len(hit) + 1, np.int64)
+    np.cumsum(hit, out=sums[1:])
     return sums[SPAN:] - sums[:-SPAN] >= ENOUGH
 
 
-def covered(hit: np.ndarray) -> np.ndarray:
-    """Places inside a stretch of SPAN tokens with enough hits, without what isn't hit at its ends."""
-    if len(hit) < SPAN:
-        return np.zeros(len(hit), bool)
-    good = np.flatnonzero(enough(hit))
-    change = np.zeros(len(hit) + 1, np.int64)
-    np.add.at(change, good, 1)
-    np.add.at(change, good + SPAN, -1)
-    return np.cumsum(change[:-1]) > 0
+def covered(good: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie inside a stretch of SPAN tokens with enough hits, from :func:`enough`."""
+    mask = np.zeros(size, bool)
+    edges = np.flatnonzero(np.diff(good, prepend=False, append=False))
+    for first, end in edges.reshape(-1, 2).tolist():
+        mask[first : end - 1 + SPAN] = True
+    return mask
 
 
-def left_over(tokens: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """First token of the stretches of SPAN tokens that aren't near the leader.
+def places(names: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token would stand among sorted ``names``, and whether it is one of them."""
+    at = np.minimum(np.searchsorted(names, tokens), len(names) - 1)
+    return at, names[at] == tokens
+
+
+def left_over(tokens: np.ndarray, hit: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """First token of the stretches of SPAN tokens that aren't near the leader (``good`` has those that are).
 
     A leader answers for the stretches whose minimum under the first function is a token of its own; others have
     another leader under that function, or none.
     """
-    out = [np.empty(0, np.int64)]
-    for start in range(0, len(hit) - SPAN + 1, BLOCK):
+    if good.all():
+        return np.empty(0, np.int64)
+    out = []
+    for start in range(0, len(good), BLOCK):
         some = tokens[start : start + BLOCK + SPAN - 1]
         centre, first, last = compact_windows(some, np.arange(len(some) - SPAN + 1), 0)
         out.append(start + np.flatnonzero(np.repeat(hit[start + centre], last - first + 1)))
     at = np.concatenate(out)
-    return at[~enough(hit)[at]] if len(at) else at
+    return at[~good[at]]
 
 
 def carve(starts: np.ndarray, tokens: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
@@ -202,6 +209,15 @@ def carve(starts: np.ndarray, tokens: np.ndarray, live: np.ndarray) -> Iterator[
             yield low, tokens[low:high].tobytes(), live[low:high].astype(np.uint8).tobytes()
 
 
+def hash_stretches(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The hash of :func:`hash_runs` of the stretches of SPAN tokens that begin at ``starts``, in order, alone."""
+    need = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(need, starts, 1)
+    np.add.at(need, starts + SPAN, -1)
+    held = np.cumsum(need[:-1]) > 0
+    return hash_runs(tokens[held], SPAN)[(np.cumsum(held) - 1)[starts]]
+
+
 def signs(tokens: np.ndarray, live: np.ndarray, valid: np.ndarray, turn: int) -> np.ndarray:
     """The signature of each stretch that begins at ``valid``: of its live tokens, or of the whole if it has none."""
     with np.errstate(over="ignore"):
@@ -212,7 +228,7 @@ def signs(tokens: np.ndarray, live: np.ndarray, valid: np.ndarray, turn: int) ->
         sign = mix(tokens[centre] ^ np.uint64(turn))
         none = ~live[centre]
         if none.any():
-            sign[none] = mix(hash_runs(tokens, SPAN)[valid[none]] ^ np.uint64(HASHES + turn))
+            sign[none] = mix(hash_stretches(tokens, valid[none]) ^ np.uint64(HASHES + turn))
     return sign
 
 
@@ -247,74 +263,111 @@ def compare(table: pa.Table) -> pa.Table:
     rest: list[tuple] = []
     if len(names):
         met = [np.zeros(len(o), bool) for o in own]
+        known = [np.searchsorted(names, o) for o in own]
         partner = None
         for i, low, data in zip(ids, lows, tokens, strict=True):
             if i == leader:
                 continue
             some = np.frombuffer(data, np.uint64)
-            at = np.minimum(np.searchsorted(names, some), len(names) - 1)
-            hit = names[at] == some
-            mask = covered(hit)
-            if mask.any():
+            if len(some) < SPAN:
+                continue
+            at, hit = places(names, some)
+            good = enough(hit)
+            if good.any():
+                mask = covered(good, len(some))
                 out += [(i, low + a, low + b + K - 1, leader) for a, b in runs(mask, hit)]
-                for o, m in zip(own, met, strict=True):
-                    back = np.isin(o, some[mask])
-                    for a, b in runs(covered(back), back):
+                seen = np.zeros(len(names), bool)
+                seen[at[mask & hit]] = True
+                for o, m in zip(known, met, strict=True):
+                    back = seen[o]
+                    for a, b in runs(covered(enough(back), len(back)), back) if len(back) >= SPAN else []:
                         m[a:b] = True
                 partner = i if partner is None else min(partner, i)
-            rest += [(-1, i, low + first, *data) for first, *data in carve(left_over(some, hit), some, ~hit)]
+            rest += [(-1, i, low + first, *data) for first, *data in carve(left_over(some, hit, good), some, ~hit)]
         for m in met if partner is not None else []:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
             out += [(leader, a, b + K - 1, partner) for a, b in edges.reshape(-1, 2).tolist()]
     return pa.table(found_rows(out, rest), names=FOUND_NAMES)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, which bounds what their runs' tokens take."""
+    for batch in batches:
+        for start in range(0, len(batch), 1_000):
+            yield batch.slice(start, 1_000)
+
+
+def joined_runs(tokens: list[bytes], live: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of runs in a row, which of them count, and the first place and length of each run."""
+    length = np.array([len(x) for x in live], np.int64)
+    marks = np.frombuffer(b"".join(live), np.uint8) > 0
+    return np.frombuffer(b"".join(tokens), np.uint64), marks, np.cumsum(length) - length, length
+
+
+def stretches(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of all stretches of some runs, and how many each run has."""
+    n = length - SPAN + 1
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n), n
+
+
 def sign_rows(left: DataFrame) -> DataFrame:
     """(key, turn, run, doc_id): the signatures of each run's stretches; turn -1 stands for every function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, len(batch), 10_000):
-                some = batch.slice(start, 10_000)
-                tokens, live = (b"".join(some.column(c).to_pylist()) for c in ("tokens", "live"))
-                tokens, live = np.frombuffer(tokens, np.uint64), np.frombuffer(live, np.uint8) > 0
-                length = np.array([len(x.as_buffer()) for x in some.column("live")], np.int64)
-                turns = some.column("turn").to_numpy()
-                first = np.cumsum(length) - length
-                for turn in range(HASHES):
-                    who = np.flatnonzero((turns == turn) | (turns < 0))
-                    if not len(who):
-                        continue
-                    n = length[who] - SPAN + 1
-                    valid = np.arange(n.sum()) + np.repeat(first[who] - np.cumsum(n) + n, n)
-                    owner = np.repeat(who, n)
-                    sign = signs(tokens, live, valid, turn)
-                    new = np.flatnonzero(np.concatenate([[True], (sign[1:] != sign[:-1]) | (np.diff(owner) > 0)]))
-                    columns = [pa.array(sign[new].view(np.int64)), pa.array(np.full(len(new), turn, np.int32))]
-                    columns += [some.column(c).take(pa.array(owner[new])) for c in ("run", "doc_id")]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "turn", "run", "doc_id"])
+        for some in pieces(batches):
+            tokens, live, first, length = joined_runs(*(some.column(c).to_pylist() for c in ("tokens", "live")))
+            turns = some.column("turn").to_numpy()
+            for turn in range(HASHES):
+                who = np.flatnonzero((turns == turn) | (turns < 0))
+                if not len(who):
+                    continue
+                valid, n = stretches(first[who], length[who])
+                owner = np.repeat(who, n)
+                sign = signs(tokens, live, valid, turn)
+                new = np.flatnonzero(np.concatenate([[True], (sign[1:] != sign[:-1]) | (np.diff(owner) > 0)]))
+                columns = [pa.array(sign[new].view(np.int64)), pa.array(np.full(len(new), turn, np.int32))]
+                columns += [some.column(c).take(pa.array(owner[new])) for c in ("run", "doc_id")]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "turn", "run", "doc_id"])
 
     return left.mapInArrow(run, "key long, turn int, run long, doc_id long")
 
 
+def same_sign(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Which stretches of each row's run have the row's key as their signature; all rows are signed at once."""
+    tokens, live, first, length = joined_runs(*(batch.column(c).to_pylist() for c in ("tokens", "live")))
+    turns, keys = batch.column("turn").to_numpy(), batch.column("key").to_numpy()
+    out = [np.empty(0, bool)] * len(batch)
+    for turn in np.unique(turns).tolist():
+        who = np.flatnonzero(turns == turn)
+        valid, n = stretches(first[who], length[who])
+        same = signs(tokens, live, valid, turn).view(np.int64) == np.repeat(keys[who], n)
+        for i, found in zip(who.tolist(), np.split(same, np.cumsum(n)[:-1]), strict=True):
+            out[i] = found
+    return out
+
+
 def compare_runs(pairs: DataFrame) -> DataFrame:
     """Passages of runs and their next leaders; what isn't near goes on without the tokens of that leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "turn", "doc_id", "low", "tokens", "live", "leader", "lead_low", "lead_tokens"]
-        for batch in batches:
+        for batch in pieces(batches):
             out, rest = [], []
-            for key, turn, i, low, data, live, leader, lead_low, lead in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                some, own, live = np.frombuffer(data, np.uint64), np.frombuffer(lead, np.uint64), np.frombuffer(live, np.uint8) > 0
-                hit = np.isin(some, own)
-                mask = covered(hit) & (i != leader)
-                if mask.any():
+            columns = [batch.column(c).to_pylist() for c in names]
+            held = (None, None)
+            for same, (key, turn, i, low, data, live, leader, lead_low, lead) in zip(same_sign(batch), zip(*columns, strict=True), strict=True):
+                some, live = np.frombuffer(data, np.uint64), np.frombuffer(live, np.uint8) > 0
+                if held[0] != lead:  # a leader's rows come one after another
+                    held = (lead, np.sort(np.frombuffer(lead, np.uint64)))
+                hit = places(held[1], some)[1]
+                good = enough(hit) & (i != leader)
+                if good.any():
+                    own, mask = np.frombuffer(lead, np.uint64), covered(good, len(some))
                     out += [(i, low + a, low + b + K - 1, leader) for a, b in runs(mask, hit)]
-                    back = np.isin(own, some[mask])
-                    out += [(leader, lead_low + a, lead_low + b + K - 1, i) for a, b in runs(covered(back), back)]
-                here = signs(some, live, np.arange(len(some) - SPAN + 1), turn).view(np.int64) == key
+                    back = places(np.sort(some[mask]), own)[1]
+                    out += [(leader, lead_low + a, lead_low + b + K - 1, i) for a, b in runs(covered(enough(back), len(back)), back)]
                 # Another run of the leader's own document isn't its partner, but may be one of those that go on.
-                starts = np.flatnonzero(here & ~(enough(hit) & (i != leader)))
+                starts = np.flatnonzero(same & ~good)
                 rest += [(turn, i, low + first, *more) for first, *more in carve(starts, some, live & ~hit)]
             yield pa.RecordBatch.from_arrays(found_rows(out, rest), names=FOUND_NAMES)
 
